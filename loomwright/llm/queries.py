@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwright.llm import conversations
+from loomwright.llm import conversations, pieces, tokens
 
-QUERIES = dict(conversations.QUERIES)
+QUERIES = conversations.QUERIES | pieces.QUERIES | tokens.QUERIES
 ORACLES: dict[str, str] = {}
