@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwright.llm import conversations, leaks, pieces, tokens
+from loomwright.llm import conversations, leaks, overlaps, pieces, tokens
 
-QUERIES = conversations.QUERIES | leaks.QUERIES | pieces.QUERIES | tokens.QUERIES
+QUERIES = conversations.QUERIES | leaks.QUERIES | overlaps.QUERIES | pieces.QUERIES | tokens.QUERIES
 ORACLES: dict[str, str] = {}
