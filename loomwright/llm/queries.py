@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwright.llm import conversations, leaks, overlaps, pieces, representatives, tokens
+from loomwright.llm import answers, conversations, leaks, overlaps, pieces, representatives, tokens
 
-QUERIES = conversations.QUERIES | leaks.QUERIES | overlaps.QUERIES | pieces.QUERIES | representatives.QUERIES | tokens.QUERIES
+QUERIES = answers.QUERIES | conversations.QUERIES | leaks.QUERIES | overlaps.QUERIES | pieces.QUERIES | representatives.QUERIES | tokens.QUERIES
 ORACLES: dict[str, str] = {}
