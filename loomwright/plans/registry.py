@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from loomwright.plans import nested
+from loomwright.plans import nested, profiling, relating
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "pair_smoothed_rate"
+PARTS = [profiling, relating]
 QUERIES = dict(nested.QUERIES)
 ORACLES: dict[str, str] = {}
+for _part in PARTS:
+    QUERIES |= _part.query.queries
+    ORACLES |= _part.query.oracles
