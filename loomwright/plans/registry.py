@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomwright.plans import nested, profiling, relating
+from loomwright.plans import nested, profiling, relating, searching
 
-FLAGSHIP = "pair_smoothed_rate"
-PARTS = [profiling, relating]
+FLAGSHIP = "rrf_fusion"
+PARTS = [profiling, relating, searching]
 QUERIES = dict(nested.QUERIES)
 ORACLES: dict[str, str] = {}
 for _part in PARTS:
