@@ -7,6 +7,7 @@ import html as html_
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TAG = "<[^>]+>"
 #: Truncated texts end with this.
@@ -27,7 +28,7 @@ def clean_html(c: Column | str) -> Column:
     return squeeze(F.regexp_replace(_c(c), TAG, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Named and numbered entities as characters."""
     return s.map(lambda x: None if x is None else html_.unescape(x))

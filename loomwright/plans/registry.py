@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomwright.plans import nested, profiling, relating, searching
+from loomwright.plans import answering, nested, profiling, relating, searching, streams
 
 FLAGSHIP = "rrf_fusion"
-PARTS = [profiling, relating, searching]
+PARTS = [profiling, relating, searching, answering, streams]
 QUERIES = dict(nested.QUERIES)
 ORACLES: dict[str, str] = {}
 for _part in PARTS:
