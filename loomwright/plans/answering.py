@@ -15,11 +15,14 @@ from loomwright.plans.base import Registry, Tables, r4
 from loomwright.plans.searching import ALL, QV, RANK, _vectors
 
 query = Registry()
-N_RANK = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
 ONE = "c AS (SELECT record_id, any_value(name) AS name, any_value(title) AS title, any_value(resource) AS resource, any_value(attack_type) AS attack_type, any_value(source) AS source FROM champions GROUP BY record_id)"
 SQUEEZE = "trim(regexp_replace({}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')"
 
 
+def _by_score():
+    return Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+
+
 @query(f"""WITH {ONE}, u AS (SELECT record_id, name, 'overview' AS k, {SQUEEZE.format("concat_ws(' ', name, title, attack_type)")} AS t FROM c UNION ALL SELECT record_id, name, 'resource', {SQUEEZE.format("concat_ws(' ', name, 'uses', resource)")} FROM c WHERE resource IS NOT NULL)
 SELECT record_id || ':' || k AS chunk_id, name AS entity_name, k AS chunk_type, t AS text FROM u WHERE t <> ''""")
 def chunk_documents(t: Tables):
@@ -107,7 +110,7 @@ def eval_retrieval(t: Tables):
     c, q = _vectors(t)
     gold = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
     top = topk(c, q, 6).where("id != query_id").join(c.select("id", "label"), "id").join(gold, "query_id")
-    ranked = top.withColumn("rank", F.row_number().over(N_RANK)).withColumn("relevant", F.col("label") == F.col("ql"))
+    ranked = top.withColumn("rank", F.row_number().over(_by_score())).withColumn("relevant", F.col("label") == F.col("ql"))
     m = E.retrieval_metrics(ranked, 5)
     return m.select("query_id", "hit1", "hit3", "hitk", *[N.digits(x).alias(x) for x in ("precision", "rr", "ndcg")])
 
@@ -121,7 +124,7 @@ def eval_score_distribution(t: Tables):
 def eval_triplet_pool(t: Tables):
     c, q = _vectors(t)
     gold = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    top = topk(c, q, 1001).where("id != query_id").withColumn("rank", F.row_number().over(N_RANK)).where("rank <= 1000")
+    top = topk(c, q, 1001).where("id != query_id").withColumn("rank", F.row_number().over(_by_score())).where("rank <= 1000")
     return top.join(c.select("id", "label"), "id").join(gold, "query_id").where("label = ql").groupBy("query_id").agg(F.min("rank").alias("first_rank")).withColumn("rr", N.digits(1.0 / F.col("first_rank")))
 
 
