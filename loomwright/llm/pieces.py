@@ -63,13 +63,21 @@ def landmarks(text: str) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _within(gap: np.ndarray, n: int) -> np.ndarray:
+    """All positions from the start to the end of any gap: a cut there parts no unit."""
+    edge = np.zeros(n + 2, "int64")
+    np.add.at(edge, gap[0], 1)
+    np.add.at(edge, gap[1] + 1, -1)
+    return np.flatnonzero(edge.cumsum()[: n + 1])
+
+
 def split(text: str, most: int, overlap: int) -> tuple[str, list[tuple[int, int, str]]]:
     """Kind of the text and its pieces (start, end, kind of the cut at its end; '' at the text's end)."""
     overlap = max(0, min(overlap, most - 1))
     reach, n = most - overlap, len(text)
     gaps = boundaries(text)
     kind, marks = kind_of(text, gaps, reach), landmarks(text)
-    spots = [np.unique(g) for g in gaps]
+    spots = [_within(g, n) for g in gaps]
     out, cut, least = [], 0, max(1, reach // 2)
     while n - cut > reach:
         low, high = cut + least, cut + reach
