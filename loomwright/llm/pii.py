@@ -39,6 +39,7 @@ STREET = r"(?:street|st|road|rd|avenue|ave|av|lane|ln|drive|dr|boulevard|blvd|cr
 UNIT = r"(?:flat|apt|apartment|suite|ste|unit|room|app|apto|piso|wohnung|no|#)"
 NUMBER = r"\p{Nd}{1,4}[a-zA-Z]?"
 
+AT = regex.compile(r"[@＠]|at\s?[)\]}]", regex.I)
 EMAIL = regex.compile(rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+-]*(?:{S}?[@＠]{S}?|{S}?[(\[{{]{S}?at{S}?[)\]}}]{S}?)[\p{{L}}\p{{N}}-]+(?:{S}?(?:[.．]|[(\[{{]{S}?dot{S}?[)\]}}]){S}?[\p{{L}}\p{{N}}-]+)+", regex.I)
 PHONE = regex.compile(rf"(?<![\p{{L}}\p{{N}}.,/:+-])(?<!\p{{N}}{S})(?:\+{S}?\p{{Nd}}{{1,3}}{S}?)?(?:\({S}?\p{{Nd}}{{1,4}}{S}?\){S}?)?\p{{Nd}}{{1,5}}(?:{S}?\({S}?0{S}?\))?(?:(?:{S}|[-.‑–/]|{S}-{S}|\){S}?)?\p{{Nd}}{{2,6}}){{1,6}}(?:,?{S}*(?:ext|extension|x|durchwahl){S}*\.?{S}*\p{{Nd}}{{1,5}})?(?![\p{{L}}\p{{N}}]|[.,/:-]\p{{N}})", regex.I)
 IDENTITY = regex.compile(
@@ -146,12 +147,16 @@ def candidates(text: str | None, about: str | None) -> list[tuple[str, int, int,
         return []
     about, out = (about or "").casefold(), []
     for kind, finders in FINDERS.items():
+        if kind == "email" and not AT.search(text):
+            continue
         spans: set[tuple[int, int]] = set()
         for f in finders:
             for m in f.finditer(text, overlapped=kind == "name"):
                 a, z = m.span("span") if kind == "name" else m.span()
                 if kind == "name" and any(w in NO_NAME for w in regex.findall(r"\p{L}{2,}", text[a:z].casefold())):
                     continue
+                if kind == "phone" and text.count("/", a, z) > 1:  # a list of numbers
+                    continue
                 if kind == "phone":  # a number that merely follows is no part of it
                     while sum(c.isdigit() for c in text[a:z]) > 20 or sum(c.isdigit() for c in regex.split(r"(?i)e?xt?\.?", text[a:z])[0]) > 15:
                         cut = regex.sub(r"\s+\S+$", "", text[a:z])
