@@ -37,11 +37,11 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> D
     for p in range(passes):
         own = q if passes == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
         table = own.toArrow()
-        ids, matrix = np.array(table.column(0).to_pylist()), _matrix(table.column(1).combine_chunks())
+        ids, kind, matrix = np.array(table.column(0).to_pylist()), table.column(0).type, _matrix(table.column(1).combine_chunks())
         if not len(ids):
             continue
 
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix, kind: pa.DataType = kind) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keys, rows = np.array(b.column(0).to_pylist()), _matrix(b.column(1))
                 if not len(keys):
@@ -52,7 +52,7 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> D
                     scores = matrix[at : at + 512] @ rows.T
                     best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                     who = np.repeat(ids[at : at + 512], best.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(keys[best.reshape(-1)]), pa.array(np.take_along_axis(scores, best, 1).reshape(-1))], ["query_id", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(who, kind), pa.array(keys[best.reshape(-1)], b.column(0).type), pa.array(np.take_along_axis(scores, best, 1).reshape(-1))], ["query_id", "id", "score"])
 
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
         parts.append(corpus.where("vec is not null").select("id", "vec").mapInArrow(run, kinds))

@@ -83,7 +83,7 @@ def fallback_if_empty(t: Tables):
     return J.or_all(t.documents.select("doc_id", "source"), F.coalesce(F.col("source") == "wiki_mirror", F.lit(False))).select("doc_id")
 
 
-@query("SELECT n_nationkey AS a, n AS b, score, reason FROM (SELECT x.n_nationkey, y.n_nationkey n, (CASE WHEN x.n_regionkey = y.n_regionkey THEN 3.0 ELSE 0.0 END) + (CASE WHEN left(x.n_name, 1) = left(y.n_name, 1) THEN 2.0 ELSE 0.0 END) + (CASE WHEN length(x.n_name) > length(y.n_name) THEN 1.0 ELSE 0.0 END) AS score, concat_ws('; ', CASE WHEN x.n_regionkey = y.n_regionkey THEN 'same region' END, CASE WHEN left(x.n_name, 1) = left(y.n_name, 1) THEN 'same letter' END, CASE WHEN length(x.n_name) > length(y.n_name) AND NOT (x.n_regionkey = y.n_regionkey AND left(x.n_name, 1) = left(y.n_name, 1)) THEN 'longer name' END) AS reason, row_number() OVER (PARTITION BY x.n_nationkey ORDER BY (CASE WHEN x.n_regionkey = y.n_regionkey THEN 3.0 ELSE 0.0 END) + (CASE WHEN left(x.n_name, 1) = left(y.n_name, 1) THEN 2.0 ELSE 0.0 END) + (CASE WHEN length(x.n_name) > length(y.n_name) THEN 1.0 ELSE 0.0 END) DESC, y.n_nationkey) r FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey <> y.n_nationkey) WHERE r <= 5 AND score > 0")
+@query("SELECT n_nationkey AS a, n AS b, score::DOUBLE AS score, reason FROM (SELECT x.n_nationkey, y.n_nationkey n, (CASE WHEN x.n_regionkey = y.n_regionkey THEN 3.0 ELSE 0.0 END) + (CASE WHEN left(x.n_name, 1) = left(y.n_name, 1) THEN 2.0 ELSE 0.0 END) + (CASE WHEN length(x.n_name) > length(y.n_name) THEN 1.0 ELSE 0.0 END) AS score, concat_ws('; ', CASE WHEN x.n_regionkey = y.n_regionkey THEN 'same region' END, CASE WHEN left(x.n_name, 1) = left(y.n_name, 1) THEN 'same letter' END, CASE WHEN length(x.n_name) > length(y.n_name) AND NOT (x.n_regionkey = y.n_regionkey AND left(x.n_name, 1) = left(y.n_name, 1)) THEN 'longer name' END) AS reason, row_number() OVER (PARTITION BY x.n_nationkey ORDER BY (CASE WHEN x.n_regionkey = y.n_regionkey THEN 3.0 ELSE 0.0 END) + (CASE WHEN left(x.n_name, 1) = left(y.n_name, 1) THEN 2.0 ELSE 0.0 END) + (CASE WHEN length(x.n_name) > length(y.n_name) THEN 1.0 ELSE 0.0 END) DESC, y.n_nationkey) r FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey <> y.n_nationkey) WHERE r <= 5 AND score > 0")
 def pair_score_blocked(t: Tables):
     pairs = J.blocked_pairs(t.nation.withColumn("block", F.col("n_regionkey")), "n_nationkey", "block", ["n_name", "n_regionkey"])
     rules = [
@@ -186,7 +186,7 @@ def role_aggregate(t: Tables):
 
 
 @query("""WITH f AS (SELECT l_partkey AS k, 12.0 AS s, l_suppkey AS e FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 3 UNION ALL SELECT l_partkey, 8.0, l_suppkey FROM lineitem WHERE l_discount > 0.09 GROUP BY 1, 3 UNION ALL SELECT p_partkey, 20.0, NULL FROM part WHERE p_type = 'PROMO')
-SELECT k AS key, sum(s) AS score, count(DISTINCT e) AS n_enemies FROM f GROUP BY 1 ORDER BY n_enemies DESC, score DESC, key LIMIT 25""")
+SELECT k AS key, sum(s)::DOUBLE AS score, count(DISTINCT e) AS n_enemies FROM f GROUP BY 1 ORDER BY n_enemies DESC, score DESC, key LIMIT 25""")
 def team_counter_accumulate(t: Tables):
     fact = lambda d, s: d.select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("e")).distinct().withColumn("s", F.lit(s))
     facts = fact(t.lineitem.where("l_returnflag = 'R'"), 12.0).unionByName(fact(t.lineitem.where("l_discount > 0.09"), 8.0))

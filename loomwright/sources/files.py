@@ -24,22 +24,24 @@ def _there(spark: SparkSession, path: str) -> bool:
 def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = False, keep_corrupt: bool = False) -> DataFrame:
     """JSON Lines, or one document a file; a missing path is an empty frame. Unreadable records are left out, or with
     ``keep_corrupt`` kept as text in ``_corrupt``."""
+    out = _parsed(spark, path, schema, multiline)
+    return out.drop("_file") if keep_corrupt else out.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")
+
+
+def _parsed(spark: SparkSession, path: str, schema: str, whole: bool) -> DataFrame:
+    """The columns of the schema, ``_corrupt`` and ``_file`` of every line (or file) that isn't blank."""
     full = StructType.fromDDL(f"{schema}, {CORRUPT} string")
     if not _there(spark, path):
-        out = spark.createDataFrame([], full)
-    else:
-        out = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multiline).json(path)
-    return out if keep_corrupt else out.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        return spark.createDataFrame([], StructType.fromDDL(f"{schema}, {CORRUPT} string, _file string"))
+    text = spark.read.option("wholetext", whole).text(path).where("trim(value) != ''").select("value", F.col("_metadata.file_path").alias("_file"))
+    return text.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"), "_file").select("r.*", "_file")
 
 
 def read_json_folder(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Every *.json of a folder, one document each, with ``stem``: the file's name without ending."""
-    full = f"{schema}, {CORRUPT} string"
-    if not _there(spark, f"{folder}/*.json"):
-        return spark.createDataFrame([], StructType.fromDDL(schema + ", stem string"))
-    rows = spark.read.schema(full).option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", True).json(f"{folder}/*.json")
-    stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json$", "")
-    return rows.withColumn("stem", stem).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    rows = _parsed(spark, f"{folder}/*.json", schema, True)
+    stem = F.regexp_replace(F.element_at(F.split("_file", "/"), -1), r"\.json$", "")
+    return rows.where(F.col(CORRUPT).isNull()).withColumn("stem", stem).drop(CORRUPT, "_file")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, keep: dict[str, list[str]] | None = None, required: list[str] | None = None) -> DataFrame:

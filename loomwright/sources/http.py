@@ -52,7 +52,9 @@ class HttpReader(DataSourceReader):
     def partitions(self) -> list[Url]:
         return [Url(u) for u in self.options.get("urls", "").split("\n") if u.strip()]
 
-    def read(self, partition: Url) -> Iterator[tuple]:
+    def read(self, partition: Url | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark passes where there are no partitions
+            return
         o = self.options
         time.sleep(float(o.get("min_delay", 0)))
         yield fetch(partition.url, int(o.get("retries", 3)), float(o.get("timeout", 2)), float(o.get("pause", 1)))
