@@ -184,4 +184,17 @@ def p6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(texts, "id").select("session_id", "turn", "id", "role", "content")
 
 
+#: p6_found in SQL: whole sessions in windows.
+FOUND_SQL = r"""WITH k AS (SELECT DISTINCT id, created_at, regexp_replace(lower(session_id), '[\s\p{Z}\p{C}]', '', 'g') AS low, regexp_replace(lower(coalesce(role, '')), '[\s\p{Z}\p{C}]', '', 'g') AS r,
+  coalesce(regexp_replace(regexp_replace(regexp_replace(content, '<[^<>]*>', '', 'g'), '&nbsp;', '', 'g'), '[\s\p{Z}\p{C}]', '', 'g'), '') <> '' AS seen FROM lol_chat_messages),
+h AS (SELECT *, regexp_replace(low, '[{}()-]', '', 'g') AS x FROM k WHERE low <> ''),
+m AS (SELECT id, created_at, seen, CASE WHEN regexp_matches(x, '^[0-9a-f]{32}$') THEN x[1:8] || '-' || x[9:12] || '-' || x[13:16] || '-' || x[17:20] || '-' || x[21:32] ELSE low END AS skey,
+  CASE WHEN r IN ('user', 'human', 'player', 'customer') THEN 'u' WHEN r IN ('assistant', 'ai', 'bot', 'model') THEN 'a' WHEN r = 'system' THEN 's' ELSE '?' END AS r FROM h),
+o AS (SELECT *, lag(r) OVER w AS before, lead(r) OVER w AS after FROM m WHERE r <> 's' WINDOW w AS (PARTITION BY skey ORDER BY created_at, id)),
+g AS (SELECT skey, bool_or(seen) AS seen, bool_or(r = '?' OR created_at IS NULL OR (r = 'a' AND coalesce(before, '') <> 'u')) AS broken, bool_or(r = 'u' AND coalesce(after, '') <> 'a') AS unanswered FROM o GROUP BY skey),
+s AS (SELECT DISTINCT session_id FROM lol_chat_sessions),
+v AS (SELECT coalesce(s.session_id, g.skey) AS session_id, CASE WHEN g.skey IS NULL OR NOT g.seen THEN 'empty' WHEN s.session_id IS NULL OR g.broken THEN 'broken' WHEN g.unanswered THEN 'unanswered' END AS fault FROM g FULL JOIN s ON s.session_id = g.skey)
+SELECT session_id, fault FROM v WHERE fault IS NOT NULL"""
+
+ORACLES = {"p6_found": FOUND_SQL}
 QUERIES = {"p6_found": p6_found, "p6_conversations": p6_conversations}

@@ -144,4 +144,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(read_table(spark, sf_dir, "document_chunks"), read_table(spark, sf_dir, "chunk_limits")).where("piece = 0").select("chunk_id", "boundary").distinct()
 
 
+#: p3_found in SQL: the longest unit of each kind. chr(1) marks where sentences end.
+FOUND_SQL = r"""WITH l AS (SELECT chunk_type AS k, max_chars AS m, overlap_chars AS o FROM chunk_limits), c AS (SELECT DISTINCT chunk_id, text, lower(trim(chunk_type, ' ')) AS k FROM document_chunks WHERE text IS NOT NULL),
+j AS (SELECT chunk_id, replace(text, chr(13), '') AS t, length(text) AS n, coalesce(a.m, d.m) AS m, coalesce(a.m - a.o, d.m - d.o) AS r FROM c LEFT JOIN l a ON a.k = c.k CROSS JOIN (SELECT * FROM l WHERE k = 'default') d),
+u AS (SELECT chunk_id, r, list_max(list_transform(string_split_regex(t, '\n[ \t]*\n\s*'), lambda x: length(x))) AS p,
+  list_max(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(t, '([.!?…])[ \t]+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: length(x))) AS s,
+  list_max(list_transform(string_split_regex(t, '\s+'), lambda x: length(x))) AS w FROM j WHERE n > m)
+SELECT chunk_id, CASE WHEN p <= r THEN 'paragraph' WHEN s <= r THEN 'sentence' WHEN w <= r THEN 'word' ELSE 'none' END AS boundary FROM u"""
+
+ORACLES = {"p3_found": FOUND_SQL}
 QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}

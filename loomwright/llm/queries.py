@@ -5,4 +5,4 @@ from __future__ import annotations
 from loomwright.llm import answers, conversations, leaks, overlaps, pieces, pii, representatives, tokens
 
 QUERIES = answers.QUERIES | conversations.QUERIES | leaks.QUERIES | overlaps.QUERIES | pieces.QUERIES | pii.QUERIES | representatives.QUERIES | tokens.QUERIES
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = conversations.ORACLES | pieces.ORACLES
