@@ -70,5 +70,28 @@ def _table(name: str):
     return query
 
 
+def _listed(x: str) -> str:
+    """SQL: the elements of a JSON list, or a single value as a list of one."""
+    return f"CASE WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN [] ELSE [{x}] END"
+
+
+def _unnested(source: str, path: str, x: str) -> str:
+    return f"SELECT record_id, {path} || '/' || (i - 1) AS path, l[i] AS v FROM (SELECT record_id, path, unnest(range(1, len(l) + 1)) AS i, l FROM (SELECT record_id, path, {_listed(x)} AS l FROM {source}))"
+
+
+LETTER = "CASE lower(trim(k)) WHEN 'p' THEN 'P' WHEN 'passive' THEN 'P' WHEN 'q' THEN 'Q' WHEN 'w' THEN 'W' WHEN 'e' THEN 'E' WHEN 'r' THEN 'R' ELSE k END"
+REAL = "v IS NOT NULL AND json_type(v) <> 'NULL'"
+FOUND_SQL = f"""WITH st AS (SELECT record_id, unnest(map_entries(stats)) AS x FROM champions), ab AS (SELECT record_id, unnest(map_entries(abilities)) AS x FROM champions),
+ai AS (SELECT record_id, x.key AS k, unnest(range(1, len(x.value) + 1)) AS i, x.value AS l FROM ab),
+j0 AS (SELECT record_id, CASE WHEN json_valid(effects) THEN effects::JSON END AS j FROM champions),
+j1 AS (SELECT record_id, CASE WHEN json_type(j) = 'VARCHAR' AND json_valid(j ->> '$') THEN (j ->> '$')::JSON ELSE j END AS j FROM j0),
+e0 AS (SELECT record_id, unnest(json_keys(j)) AS k, j FROM j1 WHERE json_type(j) = 'OBJECT'),
+e1 AS (SELECT record_id, 'effects/' || {LETTER} AS path, json_extract(j, '$."' || k || '"') AS v FROM e0),
+e AS (SELECT * FROM ({_unnested("e1", "path", "v")}) WHERE {REAL}), l0 AS (SELECT record_id, path || '/leveling' AS path, json_extract(v, '$.leveling') AS v FROM e),
+l AS (SELECT * FROM ({_unnested("l0", "path", "v")}) WHERE {REAL}), m0 AS (SELECT record_id, path || '/modifiers' AS path, json_extract(v, '$.modifiers') AS v FROM l), m AS (SELECT * FROM ({_unnested("m0", "path", "v")}) WHERE {REAL})
+SELECT DISTINCT record_id, 'stat' AS node_kind, 'stats/' || x.key AS node_path FROM st WHERE x.value IS NOT NULL UNION SELECT record_id, 'ability', 'abilities/' || {LETTER} || '/' || (i - 1) FROM ai WHERE l[i] IS NOT NULL
+UNION SELECT record_id, 'effect', path FROM e UNION SELECT record_id, 'leveling', path FROM l UNION SELECT record_id, 'modifier', path FROM m"""
+
+ORACLES = {"p4_found": FOUND_SQL}
 QUERIES = {"p4_found": p4_found} | {f"p4_{n}s": _table(n) for n in ("stat", "modifier", "leveling")}
 QUERIES |= {"p4_abilities": _table("ability"), "p4_effects": _table("effect")}

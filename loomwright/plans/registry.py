@@ -7,7 +7,7 @@ from loomwright.plans import answering, nested, profiling, relating, searching,
 FLAGSHIP = "rrf_fusion"
 PARTS = [profiling, relating, searching, answering, streams]
 QUERIES = dict(nested.QUERIES)
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(nested.ORACLES)
 for _part in PARTS:
     QUERIES |= _part.query.queries
     ORACLES |= _part.query.oracles
