@@ -32,6 +32,8 @@ COLUMNS = ["skey", "ts", "id", "code", "seen"]
 NO_TIME = -(2**60)  # bucket of rows without created_at
 END_OF_TIME, END = "2200-01-01 00:00:00", "!end"  # time and key of the row that closes the stream
 NAMES = np.array(["user", "assistant", "?"], object)  # by code; the code of system messages is 3
+#: State lives in files of the executors' disks with a copy in the checkpoint, not in their heaps.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: MB of input files for one shard of sessions: rows of one key are that share of an hour's messages.
 SHARD_MB = 64
 
@@ -112,6 +114,7 @@ def rebuild(spark: SparkSession, path: str, lateness: str = "30 days", max_files
 
     A second run from the same checkpoint brings one row of a far time, which closes all keys still open.
     """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     out, state, end = shared_dir(spark, "segments"), shared_dir(spark, "segments-state"), shared_dir(spark, "segments-end")
     no_row = spark.createDataFrame([], SCHEMA)
     no_row.write.parquet(end)
