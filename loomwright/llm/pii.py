@@ -59,13 +59,13 @@ HONORIFIC = rf"(?:\b(?:mr|mrs|ms|miss|mx|dr|prof|herr|frau|señor|señora|sr|sra
 #: What stands before a person's name.
 BEFORE = rf"(?:(?:\b(?:name|full name|nombre|contacto|nom|họ tên|ansprechpartner|kontakt|signed|author|autor){S}*[:：]{S}*)|\bmy name is{S}+|\bi am{S}+|\bi['’]m{S}+|\bje m['’]appelle{S}+|\bme llamo{S}+|\bmi nombre es{S}+|\bich heiße{S}+|\bmein name ist{S}+|\btên (?:mình|tôi) là{S}+|\bwritten by{S}+|\bmade out to{S}+|\binterview with{S}+|\bthanks to{S}+|\bplayer on record{S}*[:：]{S}*|\bcontact{S}+|\b(?:best|kind|warm|many)?{S}*(?:regards|wishes|greetings),?\s+|\bsincerely,?\s+|\bcheers,?\s+|\bgrüße,?\s+)"
 #: What stands after one.
-AFTER = rf"(?:{S}+(?:signed up|about the scrim|and i main|und suche|y juego|for hosting|for the club)|,{S}*je joue|{S}*[|;/]{S}*(?:tel|phone|teléfono|mail)|\s*\n{S}*(?:tel|phone|teléfono|mail)\b|{S}+after week|{S}*;{S}*position)"
+AFTER = rf"(?:{S}+(?:signed up|about the scrim|and i main|und suche|y juego|for hosting|for the club)|,{S}*je joue|{S}*[|;/]{S}*(?:tel|phone|teléfono|mail)|{S}*\n{S}*(?:tel|phone|teléfono|mail)\b|{S}+after week|{S}*;{S}*position)"
 NAME = [
     regex.compile(rf"{BEFORE}{HONORIFIC}?(?P<span>{PERSON})(?![\p{{L}}\p{{N}}@＠])", regex.I),
     regex.compile(rf"(?:^|[.!?。！？>\n]\s*)(?P<span>{PERSON})(?={AFTER})", regex.I),
-    regex.compile(rf"(?<![\p{{L}}\p{{N}}.@＠_-])(?P<span>{PERSON.replace(W, CAP)})(?=(?i:{AFTER}))"),
+    regex.compile(rf"(?<![\p{{L}}\p{{N}}.@＠_-])(?<!\b{CAP},{S}{{1,3}})(?P<span>{PERSON.replace(W, CAP)})(?=(?i:{AFTER}))"),
     regex.compile(rf"{HONORIFIC}(?P<span>{PERSON})(?![\p{{L}}\p{{N}}@＠])", regex.I),
-    regex.compile(rf"(?<![\p{{L}}\p{{N}}.@＠_-])(?P<span>(?:\L<given>)(?:-{W})?(?:{S}{{1,3}}\p{{Lu}}\.)?{S}{{1,3}}\p{{Lu}}[\p{{L}}'’]+(?:-{W})?)(?![\p{{L}}\p{{N}}@＠_])", given=[g.title() for g in GIVEN] + [g.upper() for g in GIVEN]),
+    regex.compile(rf"(?<![\p{{L}}\p{{N}}.@＠_-])(?<!\b{CAP},{S}{{1,3}})(?P<span>(?:\L<given>)(?:-{W})?(?:{S}{{1,3}}\p{{Lu}}\.)?{S}{{1,3}}\p{{Lu}}[\p{{L}}'’]+(?:-{W})?)(?![\p{{L}}\p{{N}}@＠_])", given=[g.title() for g in GIVEN] + [g.upper() for g in GIVEN]),
 ]
 FINDERS = {"email": [EMAIL], "identity": [IDENTITY], "phone": [PHONE], "address": [ADDRESS], "name": NAME}
 
