@@ -26,6 +26,8 @@ from loomwright.llm.leaks import INLINE, TAG
 from loomwright.session import read_table, through_table
 
 LABELS = ("empty", "truncated", "refusal", "copy", "language")
+#: Untouched answers with a score above this count as suspect and aren't learnt from.
+SUSPECT = -1.0
 BITS, SAMPLE, EPOCHS, SEED = 17, 20_000, 8, 7
 
 #: Frequent words of languages in Latin script.
@@ -203,10 +205,12 @@ def damage(rng: random.Random, label: str, q: str, a: str, others: dict[str, lis
         words = q.split()
         if not words:
             return None
-        if rng.random() < 0.3 and len(words) > 2:
-            k = rng.randrange(len(words))
-            w = words[k]
-            words[k] = w[:1] + w[2:] if len(w) > 3 else w
+        if rng.random() < 0.4 and len(words) > 2:
+            for _ in range(rng.randint(1, 3)):
+                k = rng.randrange(len(words))
+                w = words[k]
+                i = rng.randrange(len(w))
+                words[k] = rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :], w[:i] + rng.choice("aeioustr") + w[i + 1 :]]) or w
             return " ".join(words)
         return rng.choice([q, q, q.upper(), q.lower(), f"  {q}\n", f"{q} {q}", f"You asked: {q}", f"> {q}", f"Question: {q}\nAnswer: {q}", f'"{q}"', f"You want to know: {q}", q.rstrip("?!. ")])
     if label == "language":
@@ -337,7 +341,7 @@ def train(rows: list[tuple[int, str | None, str | None, str | None]]) -> Model:
     clean = []
     for h in (0, 1):
         judge = Model().fit(halves[1 - h], 4)
-        for i, bad in zip(halves[h][3], (judge.score(halves[h][0], halves[h][1]) > 0).any(1), strict=True):
+        for i, bad in zip(halves[h][3], (judge.score(halves[h][0], halves[h][1]) > SUSPECT).any(1), strict=True):
             if i[4] or not bad:
                 clean.append(i)
     clean.sort(key=lambda i: (i[3], i[4]))
