@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -50,7 +51,25 @@ def shared_dir(spark: SparkSession, what: str) -> str:
         base = tempfile.mkdtemp(prefix="loomwright-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear, spark)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []  # folders of this process
+
+
+def _clear(spark: SparkSession) -> None:
+    """Remove the folders made, when the process ends; results may still be read from them before."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    except Exception:  # noqa: BLE001, S110 - the session may be gone already
+        pass
 
 
 def through_table(df: DataFrame, what: str) -> DataFrame:
