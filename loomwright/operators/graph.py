@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomwright.session import through_table
 
@@ -84,13 +85,15 @@ def shortest_paths(edge: DataFrame, start: str, depth: int) -> DataFrame:
 def optional_sets(base: DataFrame, key: str, edge: DataFrame, kinds: list[str], most: int | None = None) -> DataFrame:
     """base with a list column for each edge type: sorted different targets, empty where there are none.
 
-    Each type is aggregated before it is joined, so types don't multiply. ``most`` bounds the lists.
+    Each type is aggregated before it is joined, so types don't multiply. ``most`` keeps the first targets of each
+    node before they are brought together; without it a list is as long as its node has neighbours.
     """
     out = base
     for k in kinds:
-        t = edge.where(F.col("type") == k).groupBy(F.col("src").alias(key)).agg(F.array_sort(F.collect_set("dst")).alias(k))
+        rows = edge.where(F.col("type") == k).select(F.col("src").alias(key), "dst").distinct()
         if most:
-            t = t.withColumn(k, F.slice(k, 1, most))
+            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("dst"))).where(F.col("_n") <= most)
+        t = rows.groupBy(key).agg(F.array_sort(F.collect_list("dst")).alias(k))
         out = out.join(t, key, "left").withColumn(k, F.coalesce(k, F.array().cast("array<string>")))
     return out
 
