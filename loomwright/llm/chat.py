@@ -13,7 +13,7 @@ ROLES = {
     "system": ("system",),
 }
 #: Characters that show nothing: white space, controls, zero-width and bidirectional marks, fillers.
-UNSEEN = r"[\s\p{Z}\p{C}ᅟᅠ⠀ㅤﾠ]"
+UNSEEN = r"[\s\p{Z}\p{C}\u115f\u1160\u2800\u3164\uffa0]"
 #: Messages of one session are kept in pieces of this many seconds, so that no task holds a whole session.
 BUCKET_SECONDS = 3600
 

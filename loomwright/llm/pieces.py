@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from loomwright.session import read_table
 
 KINDS = ("paragraph", "sentence", "word", "none")
-BLANK = regex.compile(r"(?:\r\n|[\n\r  ])[^\S\n\r]*(?:(?:\r\n|[\n\r  ])[^\S\n\r]*)+| ")
+BLANK = regex.compile(r"(?:\r\n|[\n\r\u2028\u2029])[^\S\n\r]*(?:(?:\r\n|[\n\r\u2028\u2029])[^\S\n\r]*)+|\u2029")
 #: End of a sentence: closing marks and space after .!? and the like; full-width marks need no space. Or end of a line.
-STOP = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?P<gap>\s+)|[。！？]+[”’」』）]*(?P<gap>\s*)|(?P<gap>[\n\r  ]\s*)")
+STOP = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?P<gap>\s+)|[。！？]+[”’」』）]*(?P<gap>\s*)|(?P<gap>[\n\r\u2028\u2029]\s*)")
 SPACE = regex.compile(r"\s+")
 WIDTH, BASE = 16, 0x9E3779B97F4A7C15  # characters in the rolling hash, its multiplier
 
