@@ -32,12 +32,17 @@ def table_path(sf_dir: str, name: str) -> str:
 
 #: Spark 4.1 takes the partitioning of a union's children for that of the union, even where adaptive execution
 #: coalesces each child by itself; a grouping over the union then gives a key twice. So it is switched off.
-SAFE = {"spark.sql.unionOutputPartitioning": "false"}
+#: Times in the tables have no zone and are UTC; in another zone, hours that the clock skips would shift.
+SAFE = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.session.timeZone": "UTC"}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def make_safe(spark: SparkSession) -> None:
     for k, v in SAFE.items():
         spark.conf.set(k, v)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    make_safe(spark)
     return spark.read.parquet(table_path(sf_dir, name))
 
 
@@ -46,6 +51,7 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
     Only where that setting is absent (tests, a laptop) a temporary folder of this machine is used.
     """
+    make_safe(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="loomwright-")
