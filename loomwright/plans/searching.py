@@ -175,9 +175,12 @@ def sufficiency_gate(t: Tables):
 
 @query()
 def ann_ivf(t: Tables):
-    """Approximate search; tests hold it against the exact one (recall at least 0.9)."""
+    """Approximate search; tests hold it against vector_topk over the given tables (recall at least 0.9).
+
+    The embeddings hardly cluster, so nearly all lists have to be searched for that.
+    """
     c, q = _vectors(t)
-    return _shown(V.Inverted(c.select("id", "vec"), 16).search(q, 10, 6))
+    return _shown(V.Inverted(c.select("id", "vec"), 16).search(q, 10, 14))
 
 
 @query()

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from loomwright.operators import rules as R
 from loomwright.operators import serving as S
 from loomwright.operators import trainset as M
 from loomwright.operators.shred import KEYED, MANY, ONE, Edge, Element, Graph, analyse, shred
+from loomwright.plans import registry
 
 
 def test_describe(spark):
@@ -93,6 +96,15 @@ def test_index_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_index_recall(spark, sf):
+    path = f"/root/testdata/{sf}"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    exact, near = ({(r["query_id"], r["id"]) for r in registry.QUERIES[n](spark, path).collect()} for n in ("vector_topk", "ann_ivf"))
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
 def test_fusion(spark):
     rows = lambda ids: spark.createDataFrame([(1, i, n + 1, 1.0 / (n + 1)) for n, i in enumerate(ids)], "query_id int, id string, rank int, score double")
     got = {r["key"]: round(r["score"], 6) for r in V.fuse({"a": rows(["x", "y"]), "b": rows(["y", "z"])}).collect()}
