@@ -26,9 +26,10 @@ def first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.groupBy(key.alias("_k")).agg(F.min_by(rest, order).alias("r")).select("r.*")
 
 
-def leakage(df: DataFrame, split: str, text: Column) -> DataFrame:
-    """a, b, n: different texts (trimmed, case aside) that two splits share, for each two splits."""
-    d = df.select(F.col(split).alias("s"), F.lower(F.trim(text)).alias("t")).where("t != ''").distinct()
+def leakage(df: DataFrame, split: str, text: Column, fold: bool = True) -> DataFrame:
+    """a, b, n: different texts (trimmed, case aside if ``fold``) that two splits share, for each two splits."""
+    t = F.trim(text)
+    d = df.select(F.col(split).alias("s"), (F.lower(t) if fold else t).alias("t")).where("t != ''").distinct()
     x, y = d.select(F.col("s").alias("a"), "t"), d.select(F.col("s").alias("b"), "t")
     return x.join(y, "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 

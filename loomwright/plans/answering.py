@@ -151,6 +151,12 @@ def leakage_audit(t: Tables):
     return M.leakage(t.training_triplets, "split", F.col("query"))
 
 
+@query("WITH d AS (SELECT DISTINCT split AS s, trim(positive, ' ') AS t FROM training_triplets WHERE trim(positive, ' ') <> '') SELECT x.s AS a, y.s AS b, count(*) AS n FROM d x JOIN d y ON x.t = y.t AND x.s < y.s GROUP BY 1, 2")
+def leakage_audit_passages(t: Tables):
+    """The other half of leakage_audit; as in the reference, passages that differ in case are different."""
+    return M.leakage(t.training_triplets, "split", F.col("positive"), fold=False)
+
+
 @query("WITH h AS (SELECT lower(trim(query, ' ')) q, lower(trim(positive, ' ')) p FROM training_triplets WHERE split <> 'train') SELECT DISTINCT triplet_id FROM training_triplets WHERE split = 'train' AND lower(trim(query, ' ')) NOT IN (SELECT q FROM h WHERE q IS NOT NULL) AND lower(trim(positive, ' ')) NOT IN (SELECT p FROM h WHERE p IS NOT NULL)")
 def leakage_free_train(t: Tables):
     tr, held = t.training_triplets.where("split = 'train'"), t.training_triplets.where("split != 'train'")

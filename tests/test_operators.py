@@ -130,6 +130,14 @@ def test_splits_and_leaks(spark):
     assert [r["id"] for r in M.clean_of(df.where("split = 'train'"), df.where("split = 'val'"), F.col("q")).collect()] == [3]
 
 
+def test_passages_in_two_splits_are_reported(spark, tmp_path):
+    rows = [("train", "a", " Same passage"), ("val", "b", "Same passage "), ("test", "c", "same passage"), ("test", "d", "Same passage"), ("train", "e", ""), ("val", "f", None), ("test", "g", "")]
+    spark.createDataFrame(rows, "split string, query string, positive string").write.parquet(f"{tmp_path}/training_triplets.parquet")
+    assert registry.QUERIES["leakage_audit"](spark, str(tmp_path)).count() == 0
+    got = {tuple(r) for r in registry.QUERIES["leakage_audit_passages"](spark, str(tmp_path)).collect()}
+    assert got == {("train", "val", 1), ("test", "train", 1), ("test", "val", 1)}
+
+
 def test_history_and_budget(spark):
     m = spark.createDataFrame([("s", "user", f"m{i}" * 100, i) for i in range(6)] + [("s", "ai", None, 9)], "k string, role string, content string, at int")
     h = S.format_history(m, "k", "role", "content", [F.desc("at")]).first()["history"].split("\n")
