@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomwright.llm import pii as X
 
@@ -22,6 +25,40 @@ def test_spans_exactly_as_they_stand(spark, small):
     }
 
 
+#: Names, streets and sentences that occur in no table.
+HELD = {
+    "name": (
+        ["Kwame Mensah", "Priya Raman", "Dmytro Kovalenko", "Aoife Gallagher", "Ngozi Okafor", "Tariq Haddad", "Ximena Rojas", "Bartosz Wrona", "Henrike Vogelsang", "Thabo Nkosi", "Leilani Kahale", "Rashid Karimov", "Solveig Aasen", "Eszter Szabo", "Milos Petrovic", "Yewande Adeyemi"],
+        ["My colleague {} met the sponsors yesterday.", "I spoke with {} about the contract.", "The minutes were signed by {} in March.", "{} said the venue was too small.", "Please ask Dr. {} for the results.", "Hello, my name is {} and I am new here.", "Ticket owner: {}, phone to follow.", "Yours sincerely, {}", "{} wrote the first draft.", "Her brother {} lives abroad."],
+    ),
+    "email": (["kmensah@harbour.org", "p.raman@mill-lane.net", "dk_77@posteo.de", "aoife@quay.io"], ["Write to {} for the slides.", "You may mail {} at once.", "E-mail: {}"]),
+    "phone": (["+49 30 901820", "(312) 555-7788", "020 7946 0991", "+33 1 40 20 50 50"], ["Ring me: phone {}.", "Call {} after lunch.", "Our mobile number is {}."]),
+    "address": (["12 Baker Street", "Lindenallee 44", "7b Mill Lane", "25 rue Mouffetard"], ["They live at {}.", "The parcel goes to {}.", "Office address: {}"]),
+}
+PLAIN = ["The Silver Tower stands above Old Harbour.", "Bring the Iron Shield to the Crystal Gate at dawn.", "Version 12.4.1 shipped on 3 May 2021.", "Copper Kettle sells 250 cakes a day.", "The Grand Canal froze in Winter Storm Nine.", "Green Dragon beats Red Wyvern in 40 seconds.", "Order 1048576 has 12 lines.", "Nobody knows why the Golden Lion sleeps.", "Blue Falcon deals 300 damage."]
+
+
+def test_names_and_sentences_that_occur_in_no_table(spark, small):
+    rng = random.Random(9)
+    rows, want = [], set()
+    for i in range(400):
+        parts = rng.choices(PLAIN, k=3)
+        for kind in rng.sample(sorted(HELD), 2):
+            spans, sentences = HELD[kind]
+            s = rng.choice(spans)
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(sentences).format(s) + ("\n" if rng.random() < 0.2 else ""))
+            want.add((i, kind, s))
+        rows.append((i, " ".join(parts), None))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, entity_name string")
+    got = {tuple(r) for r in X.found(docs).select("doc_id", "pii_type", "pii_text").collect()}
+    for kind in HELD:
+        w, g = {x for x in want if x[1] == kind}, {x for x in got if x[1] == kind}
+        print(kind, "recall", round(len(w & g) / len(w), 3), "precision", round(len(w & g) / max(1, len(g)), 3), sorted({x[2] for x in g - w})[:9], sorted({x[2] for x in w - g})[:9])
+        assert len(w & g) >= 0.9 * len(w) and len(w & g) >= 0.9 * len(g)
+    own = spark.read.parquet(f"{small}/documents.parquet").agg(F.concat_ws(" ", F.collect_list("text"))).first()[0].lower()
+    assert not any(w.lower() in own for n in HELD["name"][0] for w in n.split())
+
+
 def test_placeholders_keep_the_rest(spark):
     docs = spark.createDataFrame([(1, "mail a@b.de now 🙂 to Jo", "x"), (2, None, "x"), (3, "", "x")], "doc_id bigint, text string, start string")
     s = spark.createDataFrame([(1, "email", 5, 11, "a@b.de"), (1, "name", 21, 23, "Jo")], "doc_id bigint, pii_type string, start int, stop int, pii_text string")
