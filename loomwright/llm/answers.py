@@ -2,8 +2,9 @@
 
 The classifier is trained here, on a bounded sample of the answers at hand (``SAMPLE`` pairs, the first by a hash
 of their ids) and on defects made from them: emptied, cut off at any place, replaced by a refusal, by the question
-or by an answer in another language. Features are hashed: word n-grams of the answer without names and numbers,
-its last words, and pair features (how it ends in its layout, what it adds to the question, languages of both,
+or by an answer in another language; answers swapped within a language stand for what is none of these. Features
+are hashed, and all serve every label: word n-grams of the answer without names and numbers, its last words, and
+pair features (how it ends in its layout, what it adds to the question, languages of both,
 whether another was asked for, what ``rag_meta`` says) with their conjunctions. Thresholds are calibrated for
 each label on a part of the sample held out, where the made defects are known. Every answer is scored.
 """
@@ -26,9 +27,12 @@ from loomwright.llm.leaks import INLINE, TAG
 from loomwright.session import read_table, through_table
 
 LABELS = ("empty", "truncated", "refusal", "copy", "language")
-#: Untouched answers with a score above this count as suspect and aren't learnt from.
-SUSPECT = -1.0
-BITS, SAMPLE, EPOCHS, SEED = 17, 20_000, 8, 7
+REFUSAL = LABELS.index("refusal")
+#: Untouched answers that score above SUSPECT aren't learnt from as good ones; refusals above SURE are learnt as such.
+SUSPECT, SURE = np.where(np.arange(len(LABELS)) == REFUSAL, -4.0, -1.0), 0.0
+#: Weight of an untouched answer for the models that look for suspects, as no wording is known not to be a refusal.
+GOOD = 0.05
+BITS, SAMPLE, EPOCHS, SEED = 17, 10_000, 6, 7
 
 #: Frequent words of languages in Latin script.
 FREQUENT = {
@@ -51,6 +55,7 @@ CALLED = {
 }
 WORDS = {k: set(v.split()) for k, v in FREQUENT.items()}
 SCRIPT = {k: regex.compile(v) for k, v in SCRIPTS.items()}
+FOREIGN = regex.compile("|".join(SCRIPTS.values()))
 NAMES = {n: k for k, v in CALLED.items() for n in v.split() if n != "tiếng"}
 MARKS = {"vi": regex.compile(r"[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]", regex.I), "de": regex.compile("[äöüß]", regex.I), "es": regex.compile("[ñ¿¡]", regex.I), "fr": regex.compile("[çêèœîû]", regex.I), "pt": regex.compile("[ãõ]", regex.I)}
 TOKEN = regex.compile(r"[\p{L}\p{M}'’]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]")
@@ -61,7 +66,10 @@ NOTHING = {"none", "null", "nan", "undefined", "nil", "na", "n a", "empty"}
 REFUSALS = {
     "en": (
         ["", "", "Sorry, ", "I'm sorry, but ", "I am sorry. ", "Unfortunately, ", "Unfortunately ", "Hmm. ", "Apologies, ", "As a game assistant, ", "As an AI, ", "Oh no, ", "Thanks for asking, but ", "Well, "],
-        ["I can't help with that request", "I cannot help with this", "I am not able to answer this one", "I'm unable to answer that question", "I must refuse to go into this", "I have to decline this question", "that is something I have to decline", "I'd rather not respond to that", "I would rather not answer", "it would not be appropriate for me to answer", "I don't feel comfortable answering", "I won't answer this", "I cannot provide that information", "I am not allowed to talk about this", "I can't assist with that", "I can't discuss that", "answering this is beyond what I may do", "I don't think I should answer this"],
+[f"{who} {what} {topic}" for who in ("I can't", "I cannot", "I won't", "I will not", "I am not able to", "I'm unable to", "I'm not going to", "I must refuse to", "I have to decline to", "I'd rather not", "I prefer not to", "I am not allowed to", "it would not be appropriate for me to", "I don't feel comfortable trying to") for what in ("answer", "help with", "assist with", "give advice on", "be giving any advice about", "discuss", "talk about", "respond to", "go into", "comment on", "provide information on") for topic in ("this", "that", "this topic", "that request", "this question", "this one")]
+        + [f"{what} {how} {scope}" for what in ("this", "that", "answering this", "your question", "the topic") for how in ("is outside", "is beyond", "lies outside", "is not within") for scope in ("what I may discuss", "what I'm allowed to answer", "what I can talk about", "what I am here for", "my scope")]
+        + [f"{what} is something I {must} {do}" for what in ("this", "that") for must in ("have to", "must", "need to") for do in ("decline", "refuse", "leave unanswered")] 
+        + 40 * ["I can't help with that request", "that is something I have to decline", "this lies outside what I may discuss", "I won't give any advice on this topic", "I cannot help with this", "I am not able to answer this one", "I'm unable to answer that question", "I must refuse to go into this", "I have to decline this question", "I'd rather not respond to that", "I would rather not answer", "it would not be appropriate for me to answer", "I don't feel comfortable answering", "I won't answer this", "I can't assist with that", "I can't discuss that", "answering this is beyond what I may do", "I don't think I should answer this"],
         [".", ".", " at this time.", ", thank you for understanding.", ". Please ask me something else.", ". Is there another champion you would like to know about?", ". Maybe try a different question.", " right now."],
     ),
     "de": (
@@ -99,13 +107,13 @@ def plain(text: str | None) -> str:
 
 def language(text: str) -> str:
     """Code of the language most of the text is in; '' if it doesn't tell."""
-    for k, p in SCRIPT.items():
+    for k, p in SCRIPT.items() if FOREIGN.search(text) else ():
         if len(p.findall(text)) >= max(2, 0.15 * sum(c.isalpha() for c in text)):
             return k
     low = [w for w in ALIKE.findall(text.replace("'", " ").replace("’", " ")) if w[:1].islower() or len(text) < 60]
     low = [w.lower() for w in low]
     score = {k: sum(w in v for w in low) for k, v in WORDS.items()}
-    for k, p in MARKS.items():
+    for k, p in () if text.isascii() else MARKS.items():
         score[k] += min(len(p.findall(text)), 1 + len(low) // 4)
     first, second = sorted(score.items(), key=lambda x: -x[1])[:2]
     return first[0] if first[1] and first[1] > second[1] else ""
@@ -165,7 +173,7 @@ def context(meta: str | None) -> str:
 
 
 def features(question: str | None, answer: str | None, meta: str | None) -> tuple[list[int], list[int]]:
-    """Indices of the pair features, for all labels, and of the n-grams, for refusals only."""
+    """Indices of the pair features and of the n-grams, with those at the end marked."""
     q, a = plain(question), plain(answer)
     qw = [w.lower() for w in ALIKE.findall(q)]
     words = ALIKE.findall(a.replace("'", "").replace("’", ""))
@@ -185,6 +193,7 @@ def features(question: str | None, answer: str | None, meta: str | None) -> tupl
     names += [f"added={_bucket(added)}|{cover}", f"dice={dice}|{_bucket(added)}|{min(len(qw), 3)}", f"size={size}", f"meta={context(meta)}"]
     masked = ["#" if w.isdigit() else "@" if w[:1].isupper() and k and not w.isupper() else w.lower() for k, w in enumerate(words)]
     grams = sorted({f"w{k}=" + " ".join(masked[i : i + k]) for k in (1, 2, 3) for i in range(len(masked) - k + 1)})
+    grams += [f"t{k}=" + " ".join(masked[-k:]) for k in (1, 2, 3)]
     index = lambda x: [crc32(n.encode()) & ((1 << BITS) - 1) for n in x]
     return index(names), index(grams)
 
@@ -244,72 +253,78 @@ def damage(rng: random.Random, label: str, q: str, a: str, others: dict[str, lis
     return cut if ending(cut) in ("fence", "digit", "letter") else None
 
 
-REFUSAL = LABELS.index("refusal")
-
-
 class Model:
-    """Weights of pair features for all labels, of n-grams for refusals, and a threshold for each label."""
-
-    def __init__(self) -> None:
-        self.pair = np.zeros(((1 << BITS) + 1, 5), "float32")
-        self.gram = np.zeros((1 << BITS) + 1, "float32")
-        self.limits = np.zeros(5)
-
-    def score(self, pair: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        out = self.pair[pair].sum(-2)
-        out[..., REFUSAL] += self.gram[gram].sum(-1)
-        return out
-
-    def fit(self, data: tuple, epochs: int = EPOCHS) -> "Model":
-        """Logistic regression of each label by AdaGrad over batches."""
-        x, z, y, _ = data
-        sp, sg = np.full(self.pair.shape, 1e-6, "float32"), np.full(self.gram.shape, 1e-6, "float32")
-        order = np.arange(len(x))
-
-        def step(w: np.ndarray, seen: np.ndarray, index: np.ndarray, g: np.ndarray) -> None:
-            uniq, back = np.unique(index, return_inverse=True)
-            total = np.zeros((len(uniq), *g.shape[1:]), "float32")
-            np.add.at(total, back, g)
-            seen[uniq] += total**2
-            w[uniq] -= 0.3 * total / np.sqrt(seen[uniq]) + 1e-4 * w[uniq]
-            w[-1] = 0  # the index that fills short rows
-
+    """Weights of hashed features for all labels, one table for pair features and one for n-grams, and thresholds."""
+
+    def __init__(self, narrow: bool = False) -> None:
+        """``narrow``: n-grams count for refusals only, so that the other labels can't learn single answers by heart."""
+        self.weights = np.zeros((2 << BITS, len(LABELS)), "float32")  # pair features, then n-grams
+        self.narrow = np.array([narrow and k != "refusal" for k in LABELS])
+        self.limits = np.zeros(len(LABELS))
+
+    @staticmethod
+    def pack(items: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Features of many answers in compressed rows: all indices, and where each row begins. No row is empty."""
+        rows = [[*p, *(g + (1 << BITS) for g in n)] for p, n in items]
+        sizes = np.array([len(r) for r in rows], "int64")
+        return np.concatenate([np.array(r, "int64") for r in rows]) if rows else np.empty(0, "int64"), np.cumsum(sizes) - sizes
+
+    def score(self, packed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """One row of scores an answer: the product of its features with the weights, for all answers at once."""
+        index, starts = packed
+        return np.add.reduceat(self.weights[index], starts) if len(starts) else np.empty((0, len(LABELS)), "float32")
+
+    def fit(self, data: tuple, epochs: int = EPOCHS, good: float = 1.0) -> "Model":
+        """Logistic regression of each label by AdaGrad over batches; answers without any label weigh ``good`` for refusals."""
+        (index, starts), y = data
+        weight = np.ones_like(y)
+        weight[~y.any(1), REFUSAL] = good
+        ends = np.r_[starts[1:], len(index)]
+        seen, order = np.full(self.weights.shape, 0.5, "float32"), np.arange(len(starts))
         for epoch in range(epochs):
             np.random.default_rng(SEED + epoch).shuffle(order)
             for at in range(0, len(order), 256):
                 i = order[at : at + 256]
-                g = 1 / (1 + np.exp(-np.clip(self.score(x[i], z[i]), -30, 30))) - y[i]
-                step(self.pair, sp, x[i].reshape(-1), np.repeat(g, x.shape[1], 0))
-                step(self.gram, sg, z[i].reshape(-1), np.repeat(g[:, REFUSAL], z.shape[1]))
+                sizes = ends[i] - starts[i]
+                begin = np.cumsum(sizes) - sizes
+                part = index[np.repeat(starts[i] - begin, sizes) + np.arange(sizes.sum())]
+                g = 1 / (1 + np.exp(-np.clip(self.score((part, begin)), -30, 30))) - y[i]
+                g *= weight[i]
+                uniq, back = np.unique(part, return_inverse=True)
+                by = np.argsort(back, kind="stable")
+                total = np.add.reduceat(np.repeat(g, sizes, 0)[by], np.searchsorted(back[by], np.arange(len(uniq))))
+                seen[uniq] += total**2
+                self.weights[uniq] -= 0.5 * total / np.sqrt(seen[uniq]) + 1e-4 * self.weights[uniq]
+                self.weights[1 << BITS :, self.narrow] = 0
         return self
 
     def calibrate(self, data: tuple) -> "Model":
-        """For each label the lowest threshold of the best F1 (within 0.001) against all rows of other labels."""
-        x, z, y, _ = data
-        score = self.score(x, z)
-        for k in range(5):
+        """For each label the middle of the thresholds of the best F1 (within 0.001) against all rows of other labels."""
+        packed, y = data
+        score = self.score(packed)
+        for k in range(len(LABELS)):
             good, rest = score[y[:, k] == 1, k], score[y[:, k] == 0, k]
             if not len(good) or not len(rest):
                 continue
             grid = np.unique(np.r_[good, 0.0])
             hits, false = len(good) - np.searchsorted(np.sort(good), grid), len(rest) - np.searchsorted(np.sort(rest), grid)
             f1 = 2 * hits / (hits + false + len(good))
-            self.limits[k] = min(max(float(grid[f1 >= f1.max() - 0.001].min()), -0.5), 1.0)
+            best = grid[f1 >= f1.max() - 0.001]
+            self.limits[k] = (best.min() + best.max()) / 2
         return self
 
-    def predict(self, question: str | None, answer: str | None, meta: str | None) -> str | None:
-        """The label that is furthest above its threshold, if any."""
-        pair, gram = features(question, answer, meta)
-        above = self.score(np.array(pair), np.array(gram, "int64")) - self.limits
-        k = int(above.argmax())
-        return LABELS[k] if above[k] >= 0 else None
+    def predict(self, pairs: list[tuple[str | None, str | None, str | None]]) -> list[str | None]:
+        """For each question, answer and meta the label that is furthest above its threshold, if any."""
+        above = self.score(self.pack([features(*p) for p in pairs])) - self.limits
+        return [LABELS[k] if row[k] >= 0 else None for row, k in zip(above, above.argmax(1), strict=True)] if pairs else []
 
 
 def train(rows: list[tuple[int, str | None, str | None, str | None]]) -> Model:
     """A model from pairs (id, question, answer, meta).
 
     The untouched answers stand for good ones, but hold defects of their own. So they are split in two, each
-    half is judged by a model of the other, and what is found defective is left out of the final fit.
+    half is judged by a narrow model of the other; what looks defective is left out of the final fit, and sure
+    refusals, whose wordings have no end, come with their label.
     """
     rng = random.Random(SEED)
     rows = sorted(rows, key=lambda r: r[0])
@@ -327,23 +342,21 @@ def train(rows: list[tuple[int, str | None, str | None, str | None]]) -> Model:
             bad = damage(rng, LABELS[k], q or "", a or "", others)
             if bad is not None:
                 items.append((*features(q, bad, meta), [int(i == k) for i in range(5)], n, True))
+        if (mine := language(q or "")) in others and rng.random() < 0.2:  # another answer of the language is none of the defects
+            items.append((*features(q, rng.choice(others[mine]), meta), [0] * 5, n, False))
 
     def packed(part: list) -> tuple:
-        out = []
-        for slot in (0, 1):
-            x = np.full((len(part), max((len(i[slot]) for i in part), default=1) or 1), 1 << BITS)
-            for r, i in enumerate(part):
-                x[r, : len(i[slot])] = i[slot]
-            out.append(x)
-        return (*out, np.array([i[2] for i in part], "float32").reshape(-1, 5), [i for i in part])
-
-    halves = [packed([i for i in items if i[3] % 2 == h]) for h in (0, 1)]
+        return Model.pack([i[:2] for i in part]), np.array([i[2] for i in part], "float32").reshape(-1, len(LABELS))
+
     clean = []
     for h in (0, 1):
-        judge = Model().fit(halves[1 - h], 4)
-        for i, bad in zip(halves[h][3], (judge.score(halves[h][0], halves[h][1]) > SUSPECT).any(1), strict=True):
-            if i[4] or not bad:
+        mine, others_ = ([i for i in items if i[3] % 2 == side] for side in (h, 1 - h))
+        judge = Model(narrow=True).fit(packed(others_), 4, GOOD)
+        for i, score in zip(mine, judge.score(packed(mine)[0]), strict=True):
+            if i[4] or (score <= SUSPECT).all():
                 clean.append(i)
+            elif score.argmax() == REFUSAL and score.max() > SURE:
+                clean.append((*i[:2], [int(k == REFUSAL) for k in range(len(LABELS))], i[3], True))
     clean.sort(key=lambda i: (i[3], i[4]))
     return Model().fit(packed([i for i in clean if i[3] % 5])).calibrate(packed([i for i in clean if not i[3] % 5]))
 
@@ -369,7 +382,7 @@ def defects(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [model.predict(q, a, m) for q, a, m in zip(f["q"], f["a"], f["meta"], strict=True)]
+            got = model.predict(list(zip(f["q"], f["a"], f["meta"], strict=True)))
             out = pd.DataFrame({"answer_id": f["id"], "defect": pd.Series(got, index=f.index, dtype="object")})
             yield out[out["defect"].notna()]
 

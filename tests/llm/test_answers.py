@@ -26,7 +26,7 @@ def test_held_out_accuracy(spark, small):
     pairs = lambda p: [tuple(r) for r in X.answer_pairs(spark.read.parquet(p)).collect()]
     model = X.train(pairs(small.replace("sf0.001", "sf0.01") + "/lol_chat_messages.parquet"))
     held = pairs(f"{small}/lol_chat_messages.parquet")
-    good = [r for r in held if model.predict(*r[1:]) is None]
+    good = [r for r in held if model.predict([r[1:]]) == [None]]
     assert len(good) > 0.8 * len(held)
     rng, right, total = random.Random(1), 0, 0
     others = {"de": ["Die Siegesrate liegt bei 55.9 % aus 286 Spielen. Warte in der Lane, bis er den Angriff benutzt hat."], "en": ["You can track the jungler and then call your jungler, because they win the late game."]}
@@ -35,7 +35,7 @@ def test_held_out_accuracy(spark, small):
             bad = X.damage(rng, label, q or "", a or "", others)
             if bad is not None:
                 total += 1
-                right += model.predict(q, bad, meta) == label
+                right += model.predict([(q, bad, meta)]) == [label]
     assert total > 100 and right / total > 0.9
 
 
