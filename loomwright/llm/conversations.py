@@ -14,12 +14,14 @@ rows silently. ``lateness`` is how late rows may come between micro-batches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from threading import Event
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -34,8 +36,35 @@ END_OF_TIME, END = "2200-01-01 00:00:00", "!end"  # time and key of the row that
 NAMES = np.array(["user", "assistant", "?"], object)  # by code; the code of system messages is 3
 #: State lives in files of the executors' disks with a copy in the checkpoint, not in their heaps.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: MB of input files for one shard of sessions: rows of one key are that share of an hour's messages.
-SHARD_MB = 64
+#: Shards of sessions: rows of one key are that share of an hour's messages.
+SHARDS = 4
+FILES = 500  # files in a micro-batch at most
+
+
+class _Late(StreamingQueryListener):
+    """Counts the rows that a query dropped as later than the watermark, over all of its batches."""
+
+    def __init__(self) -> None:
+        self.rows, self.ended = {}, {}
+
+    def onQueryStarted(self, event: object) -> None:
+        self.ended.setdefault(str(event.runId), Event())
+
+    def onQueryProgress(self, event: object) -> None:
+        run = str(event.progress.runId)
+        self.rows[run] = self.rows.get(run, 0) + sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event: object) -> None:
+        pass
+
+    def onQueryTerminated(self, event: object) -> None:
+        self.ended.setdefault(str(event.runId), Event()).set()
+
+    def of(self, query: object) -> int:
+        """Rows dropped by an ended query; waits until all of its events are here."""
+        if not self.ended.setdefault(str(query.runId), Event()).wait(60):
+            raise RuntimeError("the end of the query was not reported")
+        return self.rows.get(str(query.runId), 0)
 
 
 def segments_in(rows: pd.DataFrame, bucket: int) -> pd.DataFrame:
@@ -89,7 +118,7 @@ def _advance(seconds: int):
     return step
 
 
-def segments_of(stream: DataFrame, lateness: str = "30 days", seconds: int = chat.BUCKET_SECONDS, shards: int = 1) -> DataFrame:
+def segments_of(stream: DataFrame, lateness: str = "30 days", seconds: int = chat.BUCKET_SECONDS, shards: int = SHARDS) -> DataFrame:
     """Streaming: message rows (id, session_id, role, content, created_at) -> segments.
 
     Rows without session are left out. Null roles can't be told; null contents show nothing; a null
@@ -109,33 +138,33 @@ def segments_of(stream: DataFrame, lateness: str = "30 days", seconds: int = cha
     return rows.groupBy("shard", "bucket").applyInPandasWithState(_advance(seconds), SEGMENT, "held array<binary>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rebuild(spark: SparkSession, path: str, lateness: str = "30 days", max_files_per_trigger: int | None = None) -> DataFrame:
+def rebuild(spark: SparkSession, path: str, lateness: str = "30 days", max_files_per_trigger: int = FILES) -> DataFrame:
     """All segments of the message files below ``path``, read as a stream to its end.
 
     A second run from the same checkpoint brings one row of a far time, which closes all keys still open.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     out, state, end = shared_dir(spark, "segments"), shared_dir(spark, "segments-state"), shared_dir(spark, "segments-end")
-    no_row = spark.createDataFrame([], SCHEMA)
-    no_row.write.parquet(end)
-    files = spark.read.parquet(path)
-    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    shards = max(1, size // (SHARD_MB << 20))
-    reader = spark.readStream.schema(SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    spark.createDataFrame([], SCHEMA).write.parquet(end)
+    reader = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+    provider, late = "spark.sql.streaming.stateStore.providerClass", _Late()
+    before = spark.conf.get(provider)
 
     def run() -> None:
         stream = reader.parquet(path + "*").unionByName(spark.readStream.schema(SCHEMA).parquet(end))
-        query = segments_of(stream, lateness, shards=shards).writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out)
+        query = segments_of(stream, lateness).writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out)
         query.awaitTermination()
-        lost = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
-        if lost:
+        if lost := late.of(query):
             raise ValueError(f"{lost} rows came later than {lateness}; give a longer lateness")
 
-    run()
-    spark.sql(f"select cast(null as bigint) id, '{END}' session_id, cast(null as string) role, cast(null as string) content, cast(null as string) rag_meta, timestamp_ntz'{END_OF_TIME}' created_at").write.mode("append").parquet(end)
-    run()
+    spark.conf.set(provider, STORE)
+    spark.streams.addListener(late)
+    try:
+        run()
+        spark.sql(f"select cast(null as bigint) id, '{END}' session_id, cast(null as string) role, cast(null as string) content, cast(null as string) rag_meta, timestamp_ntz'{END_OF_TIME}' created_at").write.mode("append").parquet(end)
+        run()
+    finally:
+        spark.streams.removeListener(late)
+        spark.conf.set(provider, before)
     return spark.read.schema(SEGMENT).parquet(out)
 
 
