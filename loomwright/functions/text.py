@@ -93,12 +93,17 @@ def token_estimate(c: Column | str) -> Column:
     return F.coalesce(F.ceil(F.octet_length(_c(c)) / 3.0), F.lit(0)).cast("bigint")
 
 
-def truncate_tokens(c: Column | str, budget: int, mark: str = CUT) -> Column:
+def truncate_tokens(c: Column | str, budget: int | Column, mark: str = CUT) -> Column:
     """The longest start of the text that, trimmed and with the mark, stays within the budget of tokens.
 
-    Texts within the budget are unchanged. The size is in bytes, so the start is found by adding up characters.
+    Texts within the budget are unchanged. The mark takes its own estimated tokens; where that leaves nothing it is
+    left out. A budget of 0 or less gives an empty text, null stays null. The size is in bytes, so the start is found
+    by adding up characters.
     """
-    room = budget * 3 - len(mark.encode())
+    budget = F.lit(budget) if isinstance(budget, int) else budget
+    own = -(-len(mark.encode()) // 3)
+    marked = budget > own
+    room = F.when(marked, budget - own).otherwise(budget) * 3
     t = _c(c)
     fit = F.aggregate(
         F.split(t, ""), F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(False).alias("full")),
@@ -106,8 +111,14 @@ def truncate_tokens(c: Column | str, budget: int, mark: str = CUT) -> Column:
         lambda a: a["n"],
     )
     wide = F.octet_length(t) > F.length(t)
-    kept = F.when(wide, fit).otherwise(F.lit(max(0, room)))
-    return F.when(token_estimate(t) <= budget, t).otherwise(F.concat(F.rtrim(F.substring(t, F.lit(1), kept)), F.lit(mark)))
+    kept = F.when(wide, fit).otherwise(F.greatest(F.lit(0), room).cast("int"))
+    cut = F.concat(F.rtrim(F.substring(t, F.lit(1), kept)), F.when(marked, mark).otherwise(""))
+    return F.when(budget <= 0, F.when(t.isNotNull(), "")).when(token_estimate(t) <= budget, t).otherwise(cut)
+
+
+def utc_iso(c: Column | str) -> Column:
+    """A time as ISO 8601 text in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(_c(c), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def json_in_text(c: Column | str) -> Column:

@@ -43,11 +43,12 @@ def both_ways(edge: DataFrame) -> DataFrame:
     return edge.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edge.select("dst", "src")).distinct()
 
 
-def neighbours(edge: DataFrame, at: str, direction: str = "both") -> DataFrame:
-    """Ids next to a node: along edges (out), against them (in), or both."""
+def neighbours(edge: DataFrame, at: str, direction: str = "both", most: int | None = None) -> DataFrame:
+    """Ids next to a node: along edges (out), against them (in), or both; ``most``: only the first by id and type."""
     out = edge.where(F.col("src") == at).select(F.col("dst").alias("id"), "type")
     into = edge.where(F.col("dst") == at).select(F.col("src").alias("id"), "type")
-    return {"out": out, "in": into}.get(direction, out.union(into)).distinct()
+    rows = {"out": out, "in": into}.get(direction, out.union(into)).distinct()
+    return rows.orderBy("id", "type").limit(most) if most else rows
 
 
 def within_hops(edge: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -56,7 +57,7 @@ def within_hops(edge: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     Breadth first: each round joins the newest nodes to the edges and drops those seen before. Rounds are written
     to the shared folder, so the plan doesn't grow and a lost executor costs one round.
     """
-    way = both_ways(edge)
+    way = through_table(both_ways(edge), "way")
     seen = front = starts.select("id").distinct().withColumn("hops", F.lit(0))
     for n in range(1, depth + 1):
         step = front.join(way, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
@@ -69,7 +70,7 @@ def within_hops(edge: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 def shortest_paths(edge: DataFrame, start: str, depth: int) -> DataFrame:
     """id, hops, path: one shortest path from start to every node within depth; of equal ones the smallest."""
-    way = both_ways(edge)
+    way = through_table(both_ways(edge), "way")
     one = edge.sparkSession.createDataFrame([(start,)], "id string")
     seen = front = one.select("id", F.lit(0).alias("hops"), F.array("id").alias("path"))
     for n in range(1, depth + 1):

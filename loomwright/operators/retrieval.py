@@ -27,8 +27,8 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> D
     """query_id, id, score, rank: the k nearest rows of the corpus by inner product, ties by id.
 
     ``corpus``: id, vec; ``queries``: query_id, vec; rows with a null vector are left out. Queries go in blocks of a
-    fixed size to every task, which multiplies them with its batch of rows and keeps k a query; only those are
-    shuffled. Exact.
+    fixed size to every task, which multiplies them with its batches of rows and keeps k a query over all of them;
+    only those are shuffled. Exact; rows whose score is NaN are left out.
     """
     q = queries.where("vec is not null").select("query_id", "vec")
     n = q.count()
@@ -42,17 +42,25 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> D
             continue
 
         def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix, kind: pa.DataType = kind) -> Iterator[pa.RecordBatch]:
+            held, id_kind = None, None  # query row, key, score of the best k so far
             for b in batches:
                 keys, rows = np.array(b.column(0).to_pylist()), _matrix(b.column(1))
                 if not len(keys):
                     continue
-                order = np.argsort(keys, kind="stable")
-                keys, rows = keys[order], rows[order]
+                id_kind, parts = b.column(0).type, [held] if held else []
                 for at in range(0, len(ids), 512):
                     scores = matrix[at : at + 512] @ rows.T
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    who = np.repeat(ids[at : at + 512], best.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(who, kind), pa.array(keys[best.reshape(-1)], b.column(0).type), pa.array(np.take_along_axis(scores, best, 1).reshape(-1))], ["query_id", "id", "score"])
+                    least = np.partition(scores, -k, axis=1)[:, -k] if k < len(keys) else np.full(len(scores), -np.inf)
+                    who, col = np.nonzero(scores >= least[:, None])
+                    parts.append((who + at, keys[col], scores[who, col]))
+                who, key, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((key, -score, who))
+                who = who[order]
+                first = np.searchsorted(who, who)
+                keep = order[np.arange(len(who)) - first < k]
+                held = tuple(np.concatenate(x)[keep] for x in zip(*parts, strict=True))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]], kind), pa.array(held[1], id_kind), pa.array(held[2])], ["query_id", "id", "score"])
 
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
         parts.append(corpus.where("vec is not null").select("id", "vec").mapInArrow(run, kinds))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwright.functions.text import squeeze, token_estimate, truncate_tokens
+from loomwright.functions.text import CUT, squeeze, token_estimate, truncate_tokens
 from loomwright.operators.rules import first_match
 
 #: Intents by patterns over the lower-case question; the first that matches counts.
@@ -61,20 +61,48 @@ def dispatch(df: DataFrame, kind: str, handlers: dict[str, Callable[[DataFrame],
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, rest])
 
 
+#: Spellings of each role, after lower-casing and without white space.
+ROLES = {"user": ("user", "human", "player", "customer"), "assistant": ("assistant", "ai", "bot", "model"), "system": ("system",)}
+UNSEEN = r"[\s\p{Z}\p{C}]"
+
+
+def session_key(c: str) -> Column:
+    """Lower-case UUID with hyphens for any spelling of one; other ids lower-cased without white space; blank is null."""
+    low = F.lower(F.regexp_replace(c, UNSEEN, ""))
+    digits = F.regexp_replace(low, r"[{}()\-]", "")
+    uuid = F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.when(digits.rlike("^[0-9a-f]{32}$"), uuid).when(low != "", low)
+
+
+def normalised_messages(messages: DataFrame) -> DataFrame:
+    """id, session_id, role (user, assistant, system, ?), content, created_at: one row an id, sessions and roles in one spelling.
+
+    Rows without id or session are left out.
+    """
+    low = F.lower(F.regexp_replace(F.coalesce("role", F.lit("")), UNSEEN, ""))
+    role = F.coalesce(*[F.when(low.isin(*names), k) for k, names in ROLES.items()], F.lit("?"))
+    rows = messages.where("id is not null").dropDuplicates(["id"])
+    return rows.select("id", session_key("session_id").alias("session_id"), role.alias("role"), "content", "created_at").where("session_id is not null")
+
+
 def format_history(messages: DataFrame, key: str, role: str, text: str, order: list[Column], last: int = 4, budget: int = 256) -> DataFrame:
-    """key, history: the last messages in order, each cut to its share of the budget."""
+    """key, history: the last messages in order, each cut to its share of the budget; blank ones give no line.
+
+    The share is the budget by one more than the messages there are, ``last`` at most.
+    """
     rows = messages.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= last)
-    share = max(1, budget // (last + 1))
-    line = F.concat_ws(": ", F.col(role), truncate_tokens(F.coalesce(text, F.lit("")), share))
+    rows = rows.withColumn("_all", F.count("*").over(Window.partitionBy(key)))
+    rows = rows.withColumn("_t", F.trim(F.coalesce(text, F.lit("")))).where("_t != ''")
+    share = F.greatest(F.lit(1), F.floor(F.lit(budget) / (F.col("_all") + 1))).cast("int")
+    line = F.concat_ws(": ", F.col(role), truncate_tokens("_t", share, "..."))
     one = rows.select(key, F.col("_n"), line.alias("line")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), "line"))).alias("a"))
     return one.select(key, F.array_join(F.transform("a", lambda x: x["line"]), "\n").alias("history"))
 
 
-def fit_context(context: Column | str, window: int, answer: int, fixed: Column | str) -> Column:
+def fit_context(context: Column | str, window: int, answer: int, fixed: Column | str, mark: str = CUT) -> Column:
     """The context cut to the tokens left: at most 2048, the window less answer, history (256) and fixed parts."""
-    room = F.least(F.lit(2048), F.lit(window - answer - 256) - token_estimate(fixed))
-    text = F.col(context) if isinstance(context, str) else context
-    return F.when(token_estimate(text) <= room, text).otherwise(F.substring(text, F.lit(1), F.greatest(F.lit(0), room * 3).cast("int")))
+    room = F.least(F.lit(2048), F.lit(window - answer - 256) - token_estimate(fixed)).cast("int")
+    return truncate_tokens(context, room, mark)
 
 
 def sessions(session: DataFrame, message: DataFrame, at_least: int = 1) -> DataFrame:

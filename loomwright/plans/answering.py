@@ -11,7 +11,7 @@ from loomwright.operators import evaluation as E
 from loomwright.operators import serving as S
 from loomwright.operators import trainset as M
 from loomwright.operators.retrieval import topk
-from loomwright.plans.base import Registry, Tables, r4
+from loomwright.plans.base import CHAT, Registry, Tables, r4
 from loomwright.plans.searching import ALL, QV, RANK, _vectors
 
 query = Registry()
@@ -36,46 +36,35 @@ def chunk_stats_cube(t: Tables):
 
 
 CASES = " ".join(f"WHEN regexp_matches(lower(content), '{p}') THEN '{k}'" for k, p in S.INTENTS)
-USERS = "u AS (SELECT DISTINCT id, content FROM lol_chat_messages WHERE role = 'user' AND content IS NOT NULL)"
+USERS = f"{CHAT}, u AS (SELECT id, content FROM m WHERE role = 'user' AND content IS NOT NULL)"
+
+
+def _questions(t: Tables):
+    """Messages of users, however their role is spelled."""
+    return S.normalised_messages(t.lol_chat_messages).where("role = 'user' and content is not null").select("id", "content")
 
 
 @query(f"WITH {USERS} SELECT id, CASE {CASES} ELSE 'UNKNOWN' END AS intent FROM u")
 def intent_rules(t: Tables):
-    u = t.lol_chat_messages.where("role = 'user' and content is not null").select("id", "content").distinct()
+    u = _questions(t)
     return u.select("id", S.intent("content").alias("intent"))
 
 
 @query(f"""WITH {USERS}, i AS (SELECT id, content, CASE {CASES} ELSE 'UNKNOWN' END AS k, regexp_extract(content, '[A-Z][a-z]+(es|us|is|os|as|en|in|an|on|un)', 0) AS e FROM u)
 SELECT id, CASE WHEN e <> '' THEN CASE k WHEN 'COUNTER' THEN e || ' counters weak against' WHEN 'BUILD' THEN e || ' build core items' WHEN 'LORE' THEN e || ' lore story region' WHEN 'SKILL_INFO' THEN e || ' ability cooldown' WHEN 'SYNERGY' THEN e || ' synergy duo partners' ELSE e || ' ' || lower(k) END ELSE content END AS search, CASE k WHEN 'ITEM' THEN 256 WHEN 'LORE' THEN 512 WHEN 'COMPARISON' THEN 768 WHEN 'COUNTER' THEN 768 ELSE 512 END AS budget FROM i""")
 def query_rewrite(t: Tables):
-    u = t.lol_chat_messages.where("role = 'user' and content is not null").select("id", "content").distinct()
+    u = _questions(t)
     i = u.withColumns({"k": S.intent("content"), "e": F.regexp_extract("content", "[A-Z][a-z]+(es|us|is|os|as|en|in|an|on|un)", 0)})
     return i.select("id", S.rewrite_query(F.col("k"), F.col("e"), F.col("content")).alias("search"), S.answer_budget(F.col("k")).alias("budget"))
 
 
 @query(f"WITH {USERS}, i AS (SELECT id, CASE {CASES} ELSE 'UNKNOWN' END AS k FROM u) SELECT id, CASE k WHEN 'LORE' THEN 'story' WHEN 'BUILD' THEN 'shop' ELSE 'search' END AS handler FROM i")
 def dispatch_by_intent(t: Tables):
-    u = t.lol_chat_messages.where("role = 'user' and content is not null").select("id", "content").distinct().withColumn("k", S.intent("content"))
+    u = _questions(t).withColumn("k", S.intent("content"))
     to = lambda name: lambda d: d.select("id", F.lit(name).alias("handler"))
     return S.dispatch(u, "k", {"LORE": to("story"), "BUILD": to("shop")}, to("search"))
 
 
-@query()
-def history_text(t: Tables):
-    m = t.lol_chat_messages.where("session_id is not null and created_at is not null").dropDuplicates(["id"])
-    return S.format_history(m, "session_id", "role", "content", [F.desc("created_at"), F.desc("id")])
-
-
-@query("SELECT s.session_id, count(m.id) AS n_messages, max(m.created_at) AS last_at FROM (SELECT DISTINCT session_id FROM lol_chat_sessions) s LEFT JOIN lol_chat_messages m USING (session_id) GROUP BY 1 HAVING count(m.id) >= 4")
-def session_summary(t: Tables):
-    return S.sessions(t.lol_chat_sessions, t.lol_chat_messages, 4)
-
-
-@query("SELECT DISTINCT session_id FROM lol_chat_sessions WHERE session_id NOT IN (SELECT session_id FROM lol_chat_messages WHERE session_id IS NOT NULL)")
-def empty_session_anti(t: Tables):
-    return S.without_messages(t.lol_chat_sessions, t.lol_chat_messages).select("session_id").distinct()
-
-
 GUESS = "CASE WHEN o_totalprice < 100000 THEN 'F' WHEN o_totalprice < 300000 THEN 'O' ELSE 'P' END"
 PRF = f"""p AS (SELECT o_orderstatus AS g, {GUESS} AS h FROM orders), l AS (SELECT g AS label FROM p UNION SELECT h FROM p),
 m AS (SELECT label, (SELECT count(*) FROM p WHERE g = label AND h = label) AS tp, (SELECT count(*) FROM p WHERE g <> label AND h = label) AS fp, (SELECT count(*) FROM p WHERE g = label AND h <> label) AS fn FROM l),

@@ -39,3 +39,11 @@ class Registry:
 def r4(x: str, n: int = 4) -> str:
     """SQL of functions.numeric.digits."""
     return f"(floor(({x}) * {float(10**n)} + 0.5) / {float(10**n)})"
+
+
+#: Messages in SQL, one row an id, roles and sessions in one spelling: m(id, content, created_at, skey, role).
+BARE = r"regexp_replace(lower(coalesce({}, '')), '[\s\p{{Z}}\p{{C}}]', '', 'g')"
+CHAT = f"""k AS (SELECT DISTINCT id, content, created_at, {BARE.format('session_id')} AS low, {BARE.format('role')} AS r FROM lol_chat_messages WHERE id IS NOT NULL),
+h AS (SELECT *, regexp_replace(low, '[{{}}()-]', '', 'g') AS x FROM k),
+m AS (SELECT id, content, created_at, CASE WHEN regexp_matches(x, '^[0-9a-f]{{32}}$') THEN x[1:8] || '-' || x[9:12] || '-' || x[13:16] || '-' || x[17:20] || '-' || x[21:32] ELSE low END AS skey,
+  CASE WHEN r IN ('user', 'human', 'player', 'customer') THEN 'user' WHEN r IN ('assistant', 'ai', 'bot', 'model') THEN 'assistant' WHEN r = 'system' THEN 'system' ELSE '?' END AS role FROM h WHERE low <> '')"""

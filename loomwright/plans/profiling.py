@@ -10,7 +10,8 @@ from loomwright.functions import numeric as N
 from loomwright.functions import text as X
 from loomwright.operators import profile as P
 from loomwright.operators import rules as R
-from loomwright.plans.base import Registry, Tables, r4
+from loomwright.operators.serving import normalised_messages
+from loomwright.plans.base import CHAT, Registry, Tables, r4
 
 query = Registry()
 STATS = ", ".join(f"{r4(f'coalesce({e}, 0)')} AS {c}" for c, e in (("mean", "avg(v)"), ("std", "stddev_samp(v)"), ("min", "min(v)"), ("q25", "quantile_cont(v, 0.25)"), ("q50", "quantile_cont(v, 0.5)"), ("q75", "quantile_cont(v, 0.75)"), ("max", "max(v)")))
@@ -146,11 +147,6 @@ def token_estimate(t: Tables):
     return t.documents.select("doc_id", n.alias("tokens"), F.when(n <= 256, 256).when(n <= 512, 512).otherwise(768).alias("budget"))
 
 
-@query()
-def truncate_budget(t: Tables):
-    return t.documents.select("doc_id", X.truncate_tokens("text", 100).alias("text")).withColumn("tokens", X.token_estimate("text"))
-
-
 @query("SELECT p_partkey, level, " + r4("CASE WHEN level > 1 AND p_size > 0 THEN p_retailprice + p_size * (level - 1) * (0.7025 + 0.0175 * (level - 1)) ELSE p_retailprice END", 2) + " AS value FROM part, (SELECT unnest([1, 2, 9, 18]) AS level)")
 def level_growth(t: Tables):
     rows = t.part.select("p_partkey", F.col("p_size").cast("double").alias("s"), "p_retailprice", F.explode(F.array(*map(F.lit, (1, 2, 9, 18)))).alias("level"))
@@ -178,9 +174,8 @@ def frequent_parts(t: Tables):
     return t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned")).where("n >= 35")
 
 
-@query("""WITH r AS (SELECT session_id, id, content, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS k FROM (SELECT DISTINCT id, session_id, content, created_at FROM lol_chat_messages) WHERE session_id IS NOT NULL AND created_at IS NOT NULL)
-SELECT session_id, k::INT AS back, id FROM r WHERE k <= 4""")
+@query(f"WITH {CHAT}, r AS (SELECT skey, id, row_number() OVER (PARTITION BY skey ORDER BY created_at DESC, id DESC) AS k FROM m WHERE created_at IS NOT NULL) SELECT skey AS session_id, k::INT AS back, id FROM r WHERE k <= 4")
 def recent_history(t: Tables):
-    rows = t.lol_chat_messages.where("session_id is not null and created_at is not null").dropDuplicates(["id"])
+    rows = normalised_messages(t.lol_chat_messages).where("created_at is not null")
     w = Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("id"))
     return rows.withColumn("back", F.row_number().over(w)).where("back <= 4").select("session_id", "back", "id")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomwright.plans import answering, champions, nested, profiling, relating, searching, streams
+from loomwright.plans import answering, champions, nested, profiling, relating, searching, shaping, streams, traversing
 
 FLAGSHIP = "rrf_fusion"
-PARTS = [profiling, champions, relating, searching, answering, streams]
+PARTS = [profiling, champions, relating, searching, answering, streams, traversing, shaping]
 QUERIES = dict(nested.QUERIES)
 ORACLES: dict[str, str] = dict(nested.ORACLES)
 for _part in PARTS:

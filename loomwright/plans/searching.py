@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from loomwright.functions import numeric as N
 from loomwright.operators import graph as G
 from loomwright.operators import joins as J
+from loomwright.operators import pipeline as PL
 from loomwright.operators import retrieval as V
 from loomwright.operators import rules as R
 from loomwright.plans.base import Registry, Tables, r4
+from loomwright.session import shared_dir
 
 query = Registry()
 EDGES = """e AS (SELECT DISTINCT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst, 'LIVES_IN' AS type FROM customer UNION SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'SITS_IN' FROM supplier
@@ -187,3 +189,30 @@ def ann_ivf(t: Tables):
 def tfidf_encode(t: Tables):
     v = V.tfidf(t.documents, "doc_id", "text")
     return v.select("doc_id", N.digits(N.dot("vec", "vec"), 6).alias("norm"), F.size(F.filter("vec", lambda x: x != 0)).alias("n_terms"))
+
+
+@query(f"""WITH {QV}, {ALL}, o AS (SELECT *, {RANK} AS r FROM s), i AS (SELECT *, CASE query_id % 200 WHEN 0 THEN 'STORY' ELSE 'SHOP' END AS intent, 't' || (id % 3) AS kind FROM o WHERE r <= 30),
+n AS (SELECT query_id, id, score * CASE WHEN intent = 'STORY' AND kind = 't1' THEN 1.15 ELSE 1.0 END AS score FROM i WHERE NOT (intent = 'SHOP' AND kind IN ('t0', 't2')))
+SELECT query_id, id, {r4('score', 6)} AS score, rank FROM (SELECT *, {RANK} AS rank FROM n) WHERE rank <= 10""")
+def search_by_intent(t: Tables):
+    c, q = _vectors(t)
+    rows = c.select("id", F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("chunk_type"))
+    intents = q.select("query_id", F.when(F.col("query_id") % 200 == 0, "STORY").otherwise("SHOP").alias("intent"))
+    return _shown(PL.narrowed(V.topk(c, q, 30), rows, intents, {"STORY": "t1"}, {"SHOP": ["t0", "t2"]}, 10))
+
+
+@query(f"""WITH {TWO}, k AS (SELECT vec_id AS id, 'e' || (vec_id % 9) || '::' || label AS key FROM embeddings), u AS (SELECT query_id, key, min(rank) AS rank FROM a JOIN k USING (id) GROUP BY 1, 2 UNION ALL SELECT query_id, key, min(rank) FROM b JOIN k USING (id) GROUP BY 1, 2),
+f AS (SELECT query_id, key, sum(1.0 / (60 + rank)) AS score FROM u GROUP BY 1, 2) SELECT query_id, key, {r4('score', 6)} AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INT AS rank FROM f) WHERE rank <= 5""")
+def fusion_by_type(t: Tables):
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("e"), (F.col("vec_id") % 9).cast("string")).alias("entity_name"), F.col("label").cast("string").alias("chunk_type"), F.lit("").alias("text"))
+    return _shown(PL.fused_by_type(list(_two(t)), rows, 5))
+
+
+@query()
+def retrieval_pipeline(t: Tables):
+    """Chunks of the table indexed, stored, loaded and searched by the questions of the evaluation items."""
+    path = shared_dir(t.spark, "index")
+    PL.build(t.document_chunks, path)
+    index, stats = PL.load(t.spark, path)
+    asked = t.eval_items.select(F.col("item_id").alias("query_id"), "question", "intent")
+    return _shown(PL.search(index, asked, 5, stats["size"], "Represent this question for searching passages: "))

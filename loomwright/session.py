@@ -49,31 +49,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which the cluster shares.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of this machine is used.
+    Only a local master without that setting (tests, a laptop) gets a temporary folder of this machine; a cluster
+    without it is an error, as its executors would write to their own disks.
     """
     make_safe(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="loomwright-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clear, spark)
+    global _registered
+    if not _registered:
+        _registered = True
+        atexit.register(remove_tables, spark)
     _made.append(path)
     return path
 
 
 _made: list[str] = []  # folders of this process
+_registered = False
 
 
-def _clear(spark: SparkSession) -> None:
-    """Remove the folders made, when the process ends; results may still be read from them before."""
+def remove_tables(spark: SparkSession) -> None:
+    """Remove the folders made so far: when the process ends, or earlier once no result is read from them any more."""
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in _made:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
+        _made.clear()
     except Exception:  # noqa: BLE001, S110 - the session may be gone already
         pass
 

@@ -45,8 +45,12 @@ def read_json_folder(spark: SparkSession, folder: str, schema: str) -> DataFrame
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, keep: dict[str, list[str]] | None = None, required: list[str] | None = None) -> DataFrame:
-    """CSV with a header; ``keep``: allowed values of columns; rows that lack a required value are left out."""
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    """The columns of ``schema`` of a CSV with a header, in any order and among any others; one that lacks is null, as is a
+    value of another type. ``keep``: allowed values of columns; rows that lack a required value are left out."""
+    wanted = StructType.fromDDL(schema)
+    there = spark.read.option("header", True).option("inferSchema", False).csv(path)  # columns by the names of the header
+    names = {c.lower(): c for c in there.columns}
+    rows = there.select(*[(F.col(f"`{names[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted])
     for c, values in (keep or {}).items():
         rows = rows.where(F.col(c).isin(values))
     return rows.dropna(subset=required) if required else rows

@@ -141,7 +141,7 @@ def test_passages_in_two_splits_are_reported(spark, tmp_path):
 def test_history_and_budget(spark):
     m = spark.createDataFrame([("s", "user", f"m{i}" * 100, i) for i in range(6)] + [("s", "ai", None, 9)], "k string, role string, content string, at int")
     h = S.format_history(m, "k", "role", "content", [F.desc("at")]).first()["history"].split("\n")
-    assert len(h) == 4 and h[-1].startswith("ai:") and h[0].startswith("user: m3") and h[0].endswith("...")
+    assert len(h) == 3 and h[-1].startswith("user: m5") and h[0].startswith("user: m3") and h[0].endswith("...")
     b = spark.createDataFrame([("ITEM",), ("COUNTER",), ("UNKNOWN",)], "k string")
     assert [r[0] for r in b.select(S.answer_budget(F.col("k"), 600)).collect()] == [256, 600, 512]
 
@@ -159,3 +159,29 @@ def test_shared_inlining(spark):
     assert {tuple(r) for r in out["part"].where("record = 1").select("path", "parent_path", "name", "size_w").collect()} == {("parts/0", "", "a", 3), ("parts/0/inner/0", "parts/0", "b", None), ("parts/0/inner/0/inner/0", "parts/0/inner/0", "c", None)}
     assert [tuple(r) for r in out["note"].collect()] == [(1, "parts/0/size/notes/1", "parts/0", "part", "x")]
     assert {tuple(r) for r in out["item"].select("record", "path", "v").collect()} == {(1, "items/P/0", 1), (1, "items/Q/1", None)}
+
+
+def test_index_is_stored_and_searched(spark, tmp_path):
+    from loomwright.operators import pipeline as PL
+
+    texts = ["the red dragon sleeps in the northern cave", "a merchant sells iron shields and long bows", "how to bake bread with wheat and salt", "ships leave the old harbour at dawn", "the wizard teaches a spell of frost"]
+    rows = [(f"c{i}", "e", " Guide " if i % 2 else "lore", x, 1) for i, x in enumerate(texts)] + [("c0", "e", "lore", texts[0], 1), ("c9", None, None, " ", 1), (None, "e", "lore", "x", 1), ("c8", "e", None, None, 1)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, entity_name string, chunk_type string, text string, vec int")
+    path = str(tmp_path / "index")
+    assert PL.build(chunks.drop("vec"), path)["types"] == {"guide": 2, "lore": 3}
+    index, stats = PL.load(spark, path)
+    asked = spark.createDataFrame([(1, "where does the red dragon sleep", "X"), (2, "who sells iron shields", "X"), (3, "", "X"), (4, None, None)], "query_id bigint, question string, intent string")
+    best = {r["query_id"]: r["id"] for r in PL.search(index, asked, 2, stats["size"]).where("rank = 1").collect()}
+    assert best == {1: "c0", 2: "c1"}
+    none = PL.search(index, asked, 2, stats["size"], exclude={"X": ["lore", "guide"]})
+    assert none.count() == 0
+    assert PL.build(chunks.drop("vec").limit(0), str(tmp_path / "none"))["n"] == 0 and PL.load(spark, str(tmp_path / "none"))[0].count() == 0
+
+
+def test_fallback_ladder_answers_every_request_once(spark):
+    from loomwright.operators import traversal as T
+
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "key int, kind string")
+    one = lambda ids: lambda q: q.where(q["key"].isin(*ids)).select("key")
+    got = {r["key"]: r["strategy"] for r in T.answer(asked, "key", "kind", {"a": one([1]), "b": one([])}, [("near", one([2, 1])), ("far", one([3]))]).collect()}
+    assert got == {1: "a", 2: "near", 3: "far", 4: "none"}

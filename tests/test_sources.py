@@ -72,3 +72,11 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(rows, "k int, at int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in.parquet"))
     got = stream_upsert(spark, str(tmp_path / "in.parquet"), "k int, at int, v string", ["k"], ["at"], 1)
     assert {tuple(r) for r in got.collect()} == {(1, 3, "c"), (2, 1, "x")}
+
+
+def test_csv_columns_by_name_among_others(spark, tmp_path):
+    from loomwright.sources import files as S
+
+    (tmp_path / "m.csv").write_text("game,extra,side,kills\ng1,x,Blue,3\ng2,y,Red,many\n,z,Red,4\n")
+    rows = S.read_csv(spark, str(tmp_path / "m.csv"), "side string, game string, kills int, absent double", required=["game"])
+    assert [tuple(r) for r in rows.orderBy("game").collect()] == [("Blue", "g1", 3, None), ("Red", "g2", None, None)]
