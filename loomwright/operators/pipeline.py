@@ -22,7 +22,7 @@ def encode(df: DataFrame, text: str, size: int = 256, prefix: str = "", out: str
     """
     words = F.regexp_extract_all(F.lower(F.concat(F.lit(prefix), F.col(text))), F.lit(WORD), F.lit(0))
     pairs = F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.get(words, i + 1).alias("n"))), lambda p: p["n"].isNotNull()), lambda p: F.concat_ws(" ", p["w"], p["n"]))
-    hashes = F.transform(F.concat(words, pairs), F.xxhash64)
+    hashes = F.transform(F.concat(words, pairs), lambda w: F.xxhash64(w))  # noqa: PLW0108
     hits = F.transform(hashes, lambda h: F.struct(F.pmod(h, F.lit(size)).cast("int").alias("b"), F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
     raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.aggregate(F.filter("_hits", lambda x: x["b"] == b), F.lit(0.0), lambda a, x: a + x["s"]))
     norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
