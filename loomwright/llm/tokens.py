@@ -85,6 +85,7 @@ class Trie:
     def clear(self) -> None:
         self.child: dict[tuple[int, int], int] = {}
         self.last, self.back = [-1], [-1]
+        self.stays.clear()
         self.words: dict[str, list[int]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
