@@ -8,7 +8,8 @@ their own and are emitted at the next advance of the watermark. Segments of one
 order afterwards: only their ends have to be compared.
 
 Rows later than the watermark would be dropped by Spark; the run raises if that happened, so no result lacks
-rows silently. ``lateness`` is how late rows may come between micro-batches.
+rows silently. ``lateness`` is how late rows may come between micro-batches; ``rebuild`` takes it from the files
+unless it is given. Rows without time, or with one before ``FIRST``, neither move the watermark nor come too late.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from threading import Event
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -32,7 +33,10 @@ SCHEMA = "id bigint, session_id string, role string, content string, rag_meta st
 SEGMENT = "skey string, bucket bigint, n int, seen boolean, unknown boolean, timeless boolean, first_role string, last_role string, twice_a boolean, twice_u boolean, ids array<bigint>, roles array<string>"
 COLUMNS = ["skey", "ts", "id", "code", "seen"]
 NO_TIME = -(2**60)  # bucket of rows without created_at
-END_OF_TIME, END = "2200-01-01 00:00:00", "!end"  # time and key of the row that closes the stream
+#: Hours outside of these times are closed by the end of the stream only. Spark's watermark begins in 1970.
+FIRST, LAST = "1970-01-02 00:00:00", "2110-01-01 00:00:00"
+FIRST_MS, LAST_MS = (int(pd.Timestamp(x).timestamp() * 1000) for x in (FIRST, LAST))
+END_OF_TIME, END = "2260-01-01 00:00:00", "!end"  # time and key of the row that closes the stream: past LAST by more than any lateness, and a time of pandas
 NAMES = np.array(["user", "assistant", "?"], object)  # by code; the code of system messages is 3
 #: State lives in files of the executors' disks with a copy in the checkpoint, not in their heaps.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -112,12 +116,22 @@ def _advance(seconds: int):
         held = list(state.get[0]) if state.exists else []
         held += [_pack(f[f["skey"] != END]) for f in frames]
         state.update((held,))
-        closes = 0 if bucket == NO_TIME else (bucket + 1) * seconds * 1000
+        closes = (bucket + 1) * seconds * 1000
+        if bucket == NO_TIME:
+            closes = 0
+        elif bucket * seconds * 1000 < FIRST_MS or closes > LAST_MS:
+            closes = LAST_MS + 1
         state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
 
     return step
 
 
+def _at() -> Column:
+    """Event time of a row; null: it has none that a watermark can follow."""
+    at = F.col("created_at").cast("timestamp")
+    return F.when(at >= F.lit(FIRST).cast("timestamp"), F.least(at, F.lit(LAST).cast("timestamp")))
+
+
 def segments_of(stream: DataFrame, lateness: str = "30 days", seconds: int = chat.BUCKET_SECONDS, shards: int = SHARDS) -> DataFrame:
     """Streaming: message rows (id, session_id, role, content, created_at) -> segments.
 
@@ -126,7 +140,7 @@ def segments_of(stream: DataFrame, lateness: str = "30 days", seconds: int = cha
     """
     code = F.element_at(F.create_map(*[F.lit(x) for kv in {"user": 0, "assistant": 1, "?": 2, "system": 3}.items() for x in kv]), chat.role_of("role"))
     rows = stream.select(
-        F.greatest(F.least(F.col("created_at").cast("timestamp"), F.lit(END_OF_TIME).cast("timestamp")), F.lit("1700-01-01").cast("timestamp")).alias("at"),
+        F.when(F.col("session_id") == END, F.col("created_at").cast("timestamp")).otherwise(_at()).alias("at"),
         F.when(F.col("session_id") == END, END).otherwise(chat.session_key("session_id")).alias("skey"),
         F.coalesce("id", F.lit(-1)).alias("id"),
         code.alias("code"),
@@ -138,14 +152,28 @@ def segments_of(stream: DataFrame, lateness: str = "30 days", seconds: int = cha
     return rows.groupBy("shard", "bucket").applyInPandasWithState(_advance(seconds), SEGMENT, "held array<binary>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rebuild(spark: SparkSession, path: str, lateness: str = "30 days", max_files_per_trigger: int = FILES) -> DataFrame:
+def lateness_of(messages: DataFrame) -> str:
+    """How late rows of the files come at most, in the order in which a stream reads these: by their times of change.
+
+    Files changed at the same time may be read in any order. One row a file is compared.
+    """
+    ends = messages.select(_at().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"))
+    ends = ends.groupBy("file", "changed").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    so_far = F.max("high").over(Window.orderBy("changed").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    late = ends.select("low", so_far.alias("high")).agg(F.max(F.unix_seconds("high") - F.unix_seconds("low"))).first()[0]
+    return f"{(late or 0) + 1} seconds"
+
+
+def rebuild(spark: SparkSession, path: str, lateness: str | None = None, max_files_per_trigger: int = FILES) -> DataFrame:
     """All segments of the message files below ``path``, read as a stream to its end.
 
-    A second run from the same checkpoint brings one row of a far time, which closes all keys still open.
+    ``lateness`` is that of the files unless it is given; rows later than one given are an error. A second run from
+    the same checkpoint brings one row of a far time, which closes all keys still open.
     """
     out, state, end = shared_dir(spark, "segments"), shared_dir(spark, "segments-state"), shared_dir(spark, "segments-end")
     spark.createDataFrame([], SCHEMA).write.parquet(end)
     reader = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+    lateness = lateness or lateness_of(spark.read.schema(SCHEMA).parquet(path + "*"))
     provider, late = "spark.sql.streaming.stateStore.providerClass", _Late()
     before = spark.conf.get(provider)
 

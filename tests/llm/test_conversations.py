@@ -53,6 +53,29 @@ def test_rows_later_than_agreed_are_no_silent_loss(spark, tmp_path):
         C.rebuild(spark, write(spark, tmp_path, batches), "1 day", max_files_per_trigger=1)
 
 
+def test_rows_without_time_close_no_other_hours(spark, tmp_path):
+    """Two and three micro-batches, the first with a row without time; rows come up to 200 days late."""
+    day = 24 * 60
+    first = [row(1, A, "user", "q", 0), row(2, "n", "user", "q", None), row(3, B, "user", "q", 200 * day), row(4, B, "ai", "a", 200 * day + 1)]
+    second, third = [row(5, A, "ai", "a", 1), row(6, "c", "user", "q", 0)], [row(7, "d", "user", "q", 5), row(8, "c", "ai", "a", 1), row(9, "n", "ai", "a", None)]
+    for n, batches in enumerate([[first, second], [first, second, third]]):
+        segments = C.rebuild(spark, write(spark, tmp_path / str(n), batches), max_files_per_trigger=1)
+        want = {A: None, B: None, "n": "broken", "c": "unanswered"} | ({"c": None, "d": "unanswered"} if n else {})
+        assert faults(spark, segments, [A, B, "n", "c", *"d"[: n]]) == want
+
+
+def test_times_out_of_range_are_kept(spark, tmp_path):
+    at = lambda i, s, role, *t: (i, s, role, "x", None, dt.datetime(*t))
+    batches = [
+        [at(1, A, "user", 2024, 1, 1), at(3, "old", "user", 1950, 1, 1), at(5, "far", "user", 9998, 1, 1)],
+        [at(2, A, "ai", 2024, 1, 2), at(4, "old", "ai", 1950, 1, 1, 0, 1)],
+        [at(7, "zero", "user", 1970, 1, 1), at(6, "far", "ai", 9998, 1, 1, 0, 1)],
+        [at(8, "zero", "ai", 1970, 1, 1, 0, 5), at(9, "old", "user", 1950, 1, 1, 0, 2), at(10, "one", "user", 2100, 1, 1)],
+    ]
+    segments = C.rebuild(spark, write(spark, tmp_path, batches), max_files_per_trigger=1)
+    assert faults(spark, segments, [A, "old", "far", "zero", "one"]) == {A: None, "old": "unanswered", "far": None, "zero": None, "one": "unanswered"}
+
+
 def test_empty_table(spark, tmp_path):
     assert faults(spark, C.rebuild(spark, write(spark, tmp_path, [[]])), [A]) == {A: "empty"}
 
