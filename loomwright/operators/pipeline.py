@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,20 +17,33 @@ from loomwright.operators.retrieval import rerank, topk
 WORD = r"[\p{L}\p{N}]+"
 
 
+def _hashed(size: int):
+    @F.arrow_udf("array<double>")
+    def vectors(hashes: pa.Array) -> pa.Array:
+        h = hashes.flatten().to_numpy(zero_copy_only=False).astype("int64")
+        n = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)
+        cells = np.repeat(np.arange(len(n)), n) * size + h % size
+        raw = np.bincount(cells, np.where((h >> 32) % 2 == 0, 1.0, -1.0), len(n) * size).reshape(len(n), size)
+        norm = np.sqrt((raw * raw).sum(1))
+        there = norm > 0
+        flat = raw[there] / norm[there][:, None]
+        ends = np.r_[0, np.cumsum(np.where(there, size, 0))].astype("int32")
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.ravel()), mask=pa.array(~there))
+
+    return vectors
+
+
 def encode(df: DataFrame, text: str, size: int = 256, prefix: str = "", out: str = "vec") -> DataFrame:
     """df with a unit vector of each text: its words and pairs of words hashed to ``size`` signed buckets.
 
     ``prefix`` goes before the text, as for instructions of queries. Texts without words and nulls have a null vector.
-    Stays inside the JVM.
+    Words are hashed inside the JVM; their sums are built for a whole Arrow batch at once, as built-in functions would
+    walk all words of a text once a bucket.
     """
     words = F.regexp_extract_all(F.lower(F.concat(F.lit(prefix), F.col(text))), F.lit(WORD), F.lit(0))
-    pairs = F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.get(words, i + 1).alias("n"))), lambda p: p["n"].isNotNull()), lambda p: F.concat_ws(" ", p["w"], p["n"]))
-    hashes = F.transform(F.concat(words, pairs), lambda w: F.xxhash64(w))  # noqa: PLW0108
-    hits = F.transform(hashes, lambda h: F.struct(F.pmod(h, F.lit(size)).cast("int").alias("b"), F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.aggregate(F.filter("_hits", lambda x: x["b"] == b), F.lit(0.0), lambda a, x: a + x["s"]))
-    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
-    rows = df.withColumn("_hits", hits).withColumn("_raw", F.when(F.size("_hits") > 0, raw)).withColumn("_norm", norm)
-    return rows.withColumn(out, F.when(F.col("_norm") > 0, F.transform("_raw", lambda x: x / F.col("_norm")))).drop("_hits", "_raw", "_norm")
+    pairs = F.zip_with(F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 1, F.lit(0))), F.slice("_words", 2, F.size("_words")), lambda a, b: F.concat_ws(" ", a, b))
+    hashes = F.transform(F.concat("_words", pairs), lambda w: F.xxhash64(w))  # noqa: PLW0108
+    return df.withColumn("_words", words).withColumn(out, _hashed(size)(hashes)).drop("_words")
 
 
 def build(chunks: DataFrame, path: str, size: int = 256) -> dict:
@@ -38,7 +54,7 @@ def build(chunks: DataFrame, path: str, size: int = 256) -> dict:
     """
     spark = chunks.sparkSession
     one = chunks.where("chunk_id is not null and trim(text) != ''").groupBy("chunk_id").agg(F.min(F.struct("text", "entity_name", F.lower(F.trim("chunk_type")).alias("chunk_type"))).alias("c")).select("chunk_id", "c.*")
-    encode(one, "text", size).where("vec is not null").withColumn("part", F.coalesce("chunk_type", F.lit("none"))).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    encode(one, "text", size).where("vec is not null").withColumn("part", F.coalesce(F.nullif("chunk_type", F.lit("")), F.lit("none"))).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
     kinds = {r["part"]: r["n"] for r in spark.read.parquet(f"{path}/rows").groupBy("part").agg(F.count("*").alias("n")).collect()} if _any(spark, path) else {}
     stats = {"n": sum(kinds.values()), "size": size, "types": dict(sorted(kinds.items()))}
     spark.createDataFrame([(json.dumps(stats),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stats")

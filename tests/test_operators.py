@@ -178,6 +178,20 @@ def test_index_is_stored_and_searched(spark, tmp_path):
     assert PL.build(chunks.drop("vec").limit(0), str(tmp_path / "none"))["n"] == 0 and PL.load(spark, str(tmp_path / "none"))[0].count() == 0
 
 
+def test_index_of_long_texts_and_blank_types_is_built_soon(spark, tmp_path):
+    import time
+
+    from loomwright.operators import pipeline as PL
+
+    kind = "case pmod(id, 3) when 0 then 'lore' when 1 then ' ' end chunk_type"
+    chunks = spark.range(600).selectExpr("concat('c', id) chunk_id", "'e' entity_name", kind, "array_join(transform(sequence(1, 80), i -> concat('w', pmod(i * id, 97))), ' ') text")
+    began, path = time.time(), str(tmp_path / "index")
+    assert PL.build(chunks, path)["types"] == {"lore": 200, "none": 400}
+    rows, stats = PL.load(spark, path)
+    assert {r["chunk_type"]: r["n"] for r in rows.groupBy("chunk_type").agg(F.count("*").alias("n")).collect()} == {"lore": 200, "": 200, None: 200}
+    assert time.time() - began < 60
+
+
 def test_fallback_ladder_answers_every_request_once(spark):
     from loomwright.operators import traversal as T
 
